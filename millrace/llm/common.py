@@ -37,6 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_ids(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """Up to `n` distinct keys, the first by hash: of a size that may be broadcast whatever the table holds."""
+    return df.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(n)
+
+
 def let(value: Column, fn) -> Column:
     """Bind `value` to a name inside one expression, so that it is evaluated once however often `fn` uses it."""
     return F.transform(F.array(value), fn)[0]

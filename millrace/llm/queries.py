@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .common import n_words
 from .line_dedup import line_dedup
 from .mixing import mix_sources, mixture
+from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .token_binary import token_binary
+from .toxicity import toxicity
+from .url_filter import url_filter
 
 
 def tokenizer_path() -> str:
@@ -22,6 +25,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(_remainder(4) != 2).select("doc_id", F.col("toxic").alias("label"))
+    out = toxicity(_table(spark, sf_dir, "documents"), labels, threshold=0.3)
+    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(_remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    out = quality_scores(_table(spark, sf_dir, "documents"), labels, threshold=0.3)
+    return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     placed = mix_sources(docs)
@@ -45,7 +68,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op6_mixing, op8_quality_rules, op9_line_dedup, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op5_url_filter, op6_mixing, op8_quality_rules, op9_line_dedup, op10_token_binary)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
