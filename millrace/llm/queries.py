@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import n_words
+from .decontaminate import leaks
 from .line_dedup import line_dedup
 from .mixing import mix_sources, mixture
 from .quality_classifier import quality_scores
@@ -53,6 +54,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(order, same, "left").select("doc_id", "size", "source_size", "target", "taken", "finish", "mix_end")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
     out = quality_rules(_table(spark, sf_dir, "documents"), trusted)
@@ -68,7 +73,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op5_url_filter, op6_mixing, op8_quality_rules, op9_line_dedup, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op5_url_filter, op6_mixing, op7_decontaminate, op8_quality_rules, op9_line_dedup, op10_token_binary)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
