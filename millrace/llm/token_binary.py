@@ -249,12 +249,28 @@ def _read(out: str):
                 with store.open_input_file(f"{path}/part-{part:06d}.dac") as f:
                     file = DacFile(f.read())
                 start = file.start.astype(np.int64)
-                crc = [zlib.crc32(file.span(int(a), int(z)).astype("<u4").tobytes()) for a, z in zip(start[:-1], start[1:], strict=True)]
+                crc = [c for a, z in _runs(start) for c in _crcs(file, start[a : z + 1])]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(file.doc_ids), "start": pa.array(start[:-1] + before), "n_tokens": pa.array(np.diff(start)), "ids_crc32": pa.array(crc, pa.int64())})
 
     return run
 
 
+def _runs(start: np.ndarray, tokens: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about `tokens` tokens, which one call of span decodes."""
+    a = 0
+    while a < len(start) - 1:
+        z = max(a + 1, int(np.searchsorted(start, start[a] + tokens, "right")) - 1)
+        yield a, z
+        a = z
+
+
+def _crcs(file: DacFile, start: np.ndarray) -> list[int]:
+    first = int(start[0])
+    data = memoryview(file.span(first, int(start[-1])).astype("<u4").tobytes())
+    ends = ((start - first) * 4).tolist()
+    return [zlib.crc32(data[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, parts: int = 0) -> DataFrame:
     """Encode every whole text, append `end_id`, and write the ids to `out` in ascending doc_id order, a file a range.
 
