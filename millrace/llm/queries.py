@@ -11,6 +11,7 @@ from .line_dedup import line_dedup
 from .mixing import mix_sources, mixture
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .suffix_dedup import suffix_dedup
 from .token_binary import token_binary
 from .toxicity import toxicity
 from .url_filter import url_filter
@@ -42,6 +43,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(_table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -73,7 +79,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op5_url_filter, op6_mixing, op7_decontaminate, op8_quality_rules, op9_line_dedup, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_suffix_dedup, op5_url_filter, op6_mixing, op7_decontaminate, op8_quality_rules, op9_line_dedup, op10_token_binary)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
