@@ -26,6 +26,9 @@ BLOCK_ITEMS = 20_000
 BITS = 22
 
 
+_KINDS = {"string": pa.string(), "int32": pa.int32()}
+
+
 def offsets(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
@@ -104,13 +107,44 @@ def _find(shared, window: int, share: float, like: str):
                         found[first + d, i] = max(found.get((first + d, i), (0,)), (*got, -at_doc))
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([d for d, _ in found])), pa.array([index["ids"][i] for _, i in found], type=like)] + [pa.array([v[k] for v in found.values()], pa.float64() if k == 0 else pa.int64()) for k in range(3)] + [pa.array([-v[3] for v in found.values()], pa.int64())],
+                    [ids.take(pa.array([d for d, _ in found])), pa.array([index["ids"][i] for _, i in found], _KINDS.get(like, pa.int64()))] + [pa.array([v[k] for v in found.values()], pa.float64() if k == 0 else pa.int64()) for k in range(3)] + [pa.array([-v[3] for v in found.values()], pa.int64())],
                     names=["doc_id", "item_id", "share", "n_equal", "n_compared", "word_at"],
                 )
 
     return run
 
 
+def _clean(shared, window: int, share: float, kind: str):
+    find = _find(shared, window, share, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.array(range(batch.num_rows), pa.int64())
+            asked = pa.RecordBatch.from_arrays([rows, batch.column("text")], names=["doc_id", "text"])
+            gone = {i for found in find(iter([asked])) for i in found.column("doc_id").to_pylist()}
+            yield batch.filter(pa.array([i not in gone for i in range(batch.num_rows)], pa.bool_()))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, masks: tuple[str, ...]) -> tuple[list, str]:
+    """Broadcast tables of the benchmark's blocks, and the type of its item_id."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    n = max(1, -(-items.count() // BLOCK_ITEMS))
+    blocks = (sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()) for k in range(n))
+    return [benchmark.sparkSession.sparkContext.broadcast(_index(b, masks)) for b in blocks], dict(benchmark.dtypes)["item_id"]
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, share: float = 0.75, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """The rows of `docs` that overlap no benchmark item, with all their columns; decided where they are read."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    blocks, kind = _blocks(benchmark, masks)
+    kind = {"string": "string", "int": "int32"}.get(kind, "int64")
+    for shared in blocks:
+        docs = docs.mapInArrow(_clean(shared, window, share, kind), schema)
+    return docs
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, share: float = 0.75, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """doc_id, item_id, share, n_equal, n_compared, word_at: a row for each document and benchmark item that overlap.
 
@@ -119,18 +153,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, share: float
     texts and empty texts overlap nothing; of repeated doc_ids or item_ids the best overlap is returned. The benchmark
     goes by in blocks of BLOCK_ITEMS items, each broadcast and held against all documents.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    types = {**dict(docs.dtypes), "item_id": dict(benchmark.dtypes)["item_id"]}
-    schema = f"doc_id {types['doc_id']}, item_id {types['item_id']}, share double, n_equal long, n_compared long, word_at long"
-    like = {"string": "string", "int": "int32"}.get(types["item_id"], "int64")
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    blocks, kind = _blocks(benchmark, masks)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {kind}, share double, n_equal long, n_compared long, word_at long"
     found = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        index = _index(sorted((r.item_id, r.text) for r in block), masks)
-        part = rows.mapInArrow(_find(spark.sparkContext.broadcast(index), window, share, like), schema)
+    for shared in blocks:
+        part = rows.mapInArrow(_find(shared, window, share, {"string": "string", "int": "int32"}.get(kind, "int64")), schema)
         found = part if found is None else found.union(part)
     best = F.max(F.struct("share", "n_equal", "n_compared", (-F.col("word_at")).alias("w"))).alias("m")
     out = found.groupBy("doc_id", "item_id").agg(best)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import n_words, words
+
 #: Pieces of each source's shuffled order that are summed apart: a hot source becomes so many tasks' rows.
 PIECES = 1024
 
@@ -80,3 +82,28 @@ def mixture(placed: DataFrame) -> DataFrame:
     totals = ranged.groupBy("range").agg(F.sum("words").alias("w")).withColumn("start", F.coalesce(F.sum("w").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = Window.partitionBy("range").orderBy("finish", "source", "doc_id", "round").rowsBetween(Window.unboundedPreceding, 0)
     return ranged.withColumn("run", F.sum("words").over(run)).join(totals.select("range", "start"), "range").select("doc_id", "source", "end", "round", "words", "finish", (F.col("start") + F.col("run")).alias("mix_end"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix with all columns of `docs`: a document once for every whole time that it is taken, and once
+    more cut to its first words where the budget ends within it (text, and n_chars where there is one, then follow).
+
+    Rows that agree in doc_id, source and size share what they are given evenly, in whole words.
+    """
+    key = ["_id", "_source", "_size"]
+    rows = docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source").cast("string"), "_size": n_words(F.col("text"))})
+    placed = mix_sources(rows.select("doc_id", "source", F.col("_size").alias("size")), **options)
+    given = placed.where("taken > 0").groupBy(*[F.col(c).alias(k) for c, k in zip(("doc_id", "source", "size"), key, strict=True)])
+    given = given.agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken"))
+    same = F.lit(True)
+    for k in key:
+        same = same & rows[k].eqNullSafe(given[k])
+    out = rows.join(given, same).drop(*[given[k] for k in key])
+    whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    times = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    out = out.withColumn("_cut", F.explode(times))
+    text = F.when(F.col("_cut") > 0, F.array_join(F.slice(words(F.col("text")), 1, F.greatest("_cut", F.lit(1))), " ")).otherwise(F.col("text"))
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -115,13 +115,13 @@ def _score(model, prior: float):
                 g = grams(t or "") & known
                 m = (sum(map(weights.__getitem__, g)) + bias) / np.sqrt(len(g) + 1)
                 scores.append(float(1 / (1 + np.exp(-np.clip(a * m + o, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3_000, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score (probability of label 1) and predicted of every document.
+def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3_000, threshold: float = 0.3, keep: bool = False) -> DataFrame:
+    """doc_id (or with `keep` all columns of `docs`), score (probability of label 1) and predicted of every document.
 
     `labels` has doc_id and label. The model is fitted on the driver from a bounded sample: the first `max_train`
     labelled doc_ids by hash and as many of label 0 alone (the rarer class); its weights, at most `max_grams`, are
@@ -138,6 +138,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3_000, t
     model, prior = None, float(min(kinds, default=0))
     if kinds == {0, 1}:
         model = spark.sparkContext.broadcast(train_nbsvm([r[1] for r in train], [r[2] for r in train]))
-    types = dict(docs.dtypes)
-    out = rows.mapInArrow(_score(model, prior), f"doc_id {types['doc_id']}, score double")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    given = docs.withColumn("text", F.col("text").cast("string")) if keep else rows
+    given = given.select(*[c for c in given.columns if c not in ("score", "predicted")])
+    schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes)
+    out = given.mapInArrow(_score(model, prior), f"{schema}, score double")
+    out = out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return out if keep else out.drop("text")

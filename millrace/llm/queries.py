@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import n_words
 from .decontaminate import leaks
+from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
 from .mixing import mix_sources, mixture
 from .quality_classifier import quality_scores
@@ -31,6 +32,10 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").where(_remainder(4) != 2).select("doc_id", F.col("toxic").alias("label"))
     out = toxicity(_table(spark, sf_dir, "documents"), labels, threshold=0.3)
@@ -79,7 +84,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_suffix_dedup, op5_url_filter, op6_mixing, op7_decontaminate, op8_quality_rules, op9_line_dedup, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_quality, op4_suffix_dedup, op5_url_filter, op6_mixing, op7_decontaminate, op8_quality_rules, op9_line_dedup, op10_token_binary)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
