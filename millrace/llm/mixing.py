@@ -9,6 +9,8 @@ from .common import n_words, words
 
 #: Pieces of each source's shuffled order that are summed apart: a hot source becomes so many tasks' rows.
 PIECES = 1024
+#: Ranges of finish time that are sorted apart.
+RANGES = 4096
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -69,19 +71,26 @@ def mix_sources(docs: DataFrame, size: str = "size", weights: list[float] = (3,
     return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "rounds", "end", "finish")
 
 
-def mixture(placed: DataFrame) -> DataFrame:
+def mixture(placed: DataFrame, total_budget: int | None = None) -> DataFrame:
     """The rounds that the mix takes, in its order: doc_id, source, end, round, words, finish, mix_end (words up to its end).
 
     (source, doc_id, end) names a row of `placed` that has words.
     `placed` comes from mix_sources. Sorted by finish time in ranges; each range's running sum starts at the sum of the
-    ranges before it, a table of a row a range.
+    ranges before it, a table of a row a range. The sorted run ends at `total_budget` words, which cuts the round that
+    crosses it; None takes the budget that the targets were dealt from, which no round crosses.
     """
     items = placed.select("doc_id", "source", "source_size", "target", "end", F.posexplode("rounds").alias("round", "words")).where("words > 0")
     items = items.select("doc_id", "source", "end", "round", "words", F.least(F.lit(1.0), (F.col("end") + F.col("round") * F.col("source_size")) / F.col("target")).alias("finish"))
-    ranged = items.repartitionByRange("finish", "source", "doc_id", "round").withColumn("range", F.spark_partition_id())
-    totals = ranged.groupBy("range").agg(F.sum("words").alias("w")).withColumn("start", F.coalesce(F.sum("w").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # ranges of equal width of a time in [0, 1]: the same whenever they are computed again, unlike sampled ones
+    ranged = items.withColumn("range", F.floor(F.col("finish") * RANGES))
+    totals = ranged.groupBy("range").agg(F.sum("words").alias("w"))
+    totals = totals.withColumn("start", F.coalesce(F.sum("w").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = Window.partitionBy("range").orderBy("finish", "source", "doc_id", "round").rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.withColumn("run", F.sum("words").over(run)).join(totals.select("range", "start"), "range").select("doc_id", "source", "end", "round", "words", "finish", (F.col("start") + F.col("run")).alias("mix_end"))
+    placed = ranged.withColumn("run", F.sum("words").over(run)).join(totals.select("range", "start"), "range")
+    placed = placed.withColumn("mix_end", F.col("start") + F.col("run"))
+    budget = F.lit(total_budget) if total_budget is not None else F.col("mix_end")
+    kept = F.col("words") - F.greatest(F.lit(0), F.col("mix_end") - budget)
+    return placed.withColumn("words", kept).where("words > 0").select("doc_id", "source", "end", "round", "words", "finish", F.least("mix_end", budget).alias("mix_end"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
