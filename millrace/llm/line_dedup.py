@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS
+from .common import WS, cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,6 +28,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     lines = rows.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= min_chars), line_key))).alias("key")).where(F.length("key") >= min_chars)
     held = lines.where("doc_id is not null").select("doc_id", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(7), "key").alias("g"))
     common = held.distinct().groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    common = cut(common.select("h", "g", "keeper"))  # a table, so that a key many documents hold can be split in the join
     gone = held.join(common, ["h", "g"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("h", "g"))).alias("gone"))
     marked = rows.join(gone, "doc_id", "left")
     parts = F.split("text", "\n")
