@@ -28,7 +28,9 @@ def query(sql: str | None):
     return add
 
 
-_joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", F.col("seq").cast("string").alias("v")))), lambda x: x["v"]), ",")
+def _joined():
+    """The rows' ids of a group in order, joined by commas."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", F.col("seq").cast("string").alias("v")))), lambda x: x["v"]), ",")
 
 
 @query("""
@@ -41,7 +43,7 @@ def flow_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = tables.messages(spark, sf_dir).select("seq", "payload_type", "actor")
     graph = FlowGraph()
     graph.add("map", Map(fn=lambda df: routing.partition_by(df, F.col("actor"), 2)), [source], ["reduce"])
-    graph.add("reduce", ReduceEach(4, {"ids": _joined}, routee=["routee"]))
+    graph.add("reduce", ReduceEach(4, {"ids": _joined()}, routee=["routee"]))
     rows = graph.build()["reduce"]
     return rows.select("routee", "payload_type", F.col("group").alias("grp"), "ids")
 
@@ -398,3 +400,24 @@ def credit_backpressure(spark, sf_dir):
     kind = F.col("payload_type")
     out = messaging.credited(m.where("payload_type <> 'view'"), credits, 100, kind != "signup", kind == "error")
     return out.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT abs(user_id) % 2 AS routee, event_id, row_number() OVER (PARTITION BY abs(user_id) % 2 ORDER BY event_id) - 1 AS place FROM events WHERE event_type = 'click')
+SELECT CAST(routee AS BIGINT) AS routee, max(event_id) AS seq, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS value FROM m GROUP BY routee, place // 4 HAVING count(*) = 4""")
+def stream_reduce(spark, sf_dir):
+    """The streaming Reduce over the table as a stream, drained into a table: the batch form's groups."""
+    from .streaming import stateful
+
+    work = tables.work_dir(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    rows = rows.select((F.abs("user_id") % 2).alias("routee"), F.col("event_type").alias("payload_type"), F.col("event_id").alias("seq"), F.col("event_id").alias("value"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = stateful.reduce_stream(rows, {"click": 4}, lambda taken: ",".join(taken["click"]))
+        stateful.drain(out, f"{work}/checkpoint", lambda df, _: tables.append(df, f"{work}/out"))
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema("routee long, seq long, value string").parquet(f"{work}/out")
