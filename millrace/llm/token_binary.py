@@ -81,10 +81,10 @@ def unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
 
 def best_width(ids: np.ndarray) -> tuple[int, int]:
     """Widths of both levels that take the fewest bits for these ids."""
-    top = max(1, int(ids.max(initial=0)).bit_length())
-    counts = np.bincount(ids, minlength=1 << top)
-    beyond = len(ids) - np.cumsum(counts)
-    cost = {b: len(ids) * (b + 1) + int(beyond[(1 << b) - 1]) * (top - b) for b in range(1, top)} | {top: len(ids) * (top + 1)}
+    lengths = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=2)  # of ids by their bits
+    top = max(1, len(lengths) - 1)
+    beyond = len(ids) - np.cumsum(lengths)  # ids of more than b bits
+    cost = {b: len(ids) * (b + 1) + int(beyond[b]) * (top - b) for b in range(1, top + 1)}
     width = min(cost, key=lambda b: (cost[b], b))
     return width, top - width
 
