@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import fit_margin
-from .common import WS, bounded_ids, cut, let, words
+from .common import bounded_ids, cut, let, words
 
 #: Words that speak to a reader, in the four languages of the corpus.
 SECOND_PERSON = ["you", "your", "yours", "you're", "u", "ur", "yourself", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "du", "dich", "dir", "dein", "deine", "euch", "ihr", "ti", "tus", "usted", "ustedes", "vosotros"]
@@ -18,14 +18,14 @@ FEATURES = ["lexicon_density", "lexicon_hits", "lexicon_kinds", "hidden_density"
 STEM = 5
 
 
-def plain(word: Column) -> Column:
-    """Lower case, without marks."""
-    return F.translate(F.lower(word), MARKS + "!|$@", "")
+def plain(text: Column) -> Column:
+    """Lower case, without marks: of a word, or of a text before it is split."""
+    return F.translate(F.lower(text), MARKS + "!|$@", "")
 
 
-def revealed(word: Column) -> Column:
-    """Lower case, with lookalike signs read as letters and marks taken out."""
-    return F.translate(F.translate(F.rtrim(F.lower(word), F.lit("!.,;:?")), LOOKALIKE_FROM, LOOKALIKE_TO), MARKS, "")
+def revealed(text: Column) -> Column:
+    """Lower case, with lookalike signs within words read as letters and marks taken out."""
+    return F.translate(F.translate(F.regexp_replace(F.lower(text), r"[!.,;:?|$]+(?=\s|$)", ""), LOOKALIKE_FROM, LOOKALIKE_TO), MARKS, "")
 
 
 def entries(word: Column) -> Column:
@@ -38,7 +38,7 @@ def learn_lexicon(train: DataFrame, label: str = "label", size: int = 400, min_d
     total = train.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
     if not total.p or total.p == total.n:
         return []
-    seen = train.select(label, F.explode(F.array_distinct(F.flatten(F.transform(words(F.col("text")), lambda w: entries(plain(w)))))).alias("e"))
+    seen = train.select(label, F.explode(F.array_distinct(F.flatten(F.transform(words(plain(F.col("text"))), entries)))).alias("e"))
     counts = seen.where(F.length("e") > 2).groupBy("e").agg(F.sum(label).alias("p"), F.count("*").alias("n")).where(F.col("p") >= min_docs)
     rest = total.n - total.p
     odds = F.log((F.col("p") + 0.5) / (total.p + 1)) - F.log((F.col("n") - F.col("p") + 0.5) / (rest + 1))
@@ -51,34 +51,31 @@ def dense_features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     whole = [e for e in lexicon if not e.startswith("^")] or ["\x00"]
     stems = [e[1:] for e in lexicon if e.startswith("^")] or ["\x00"]
     held = lambda w: w.isin(whole) | F.left(w, F.lit(STEM)).isin(stems)
-
-    def marks(w: Column) -> Column:
-        """0 plain word, 1 lexicon word, 2 lexicon word in disguise, 3 second person."""
-        p = plain(w)
-        return F.when(held(p), 1).when(p.isin(SECOND_PERSON), 3).when(w.rlike(r"[@0-9$*!|._-]") & held(revealed(w)), 2).otherwise(0)
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ws = words(text)
-    count = lambda a, *kinds: F.size(F.filter(a, lambda m: m.isin(*kinds))).cast("double")
-    rows = docs.withColumn("_t", text).withColumn("_m", F.transform(ws, marks))
-    rows = rows.withColumn("_kinds", F.size(F.array_distinct(F.filter(F.transform(ws, lambda w: F.left(plain(w), F.lit(STEM))), lambda p: p.isin(stems) | p.isin([x[:STEM] for x in whole])))).cast("double"))
-    near = let(F.col("_m"), lambda m: F.size(F.filter(F.transform(m, lambda x, i: x.isin(1, 2) & F.exists(F.slice(m, F.greatest(i - 3, F.lit(0)) + 1, 7), lambda y: y == 3)), lambda x: x)).cast("double"))
-    n = F.greatest(F.size("_m"), F.lit(1)).cast("double")
+    hits = lambda t: F.filter(words(t), held)
+    rows = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_w", words(plain(F.col("_t"))))
+    rows = rows.withColumn("_l", F.filter("_w", held)).withColumn("_second", F.size(F.filter("_w", lambda w: w.isin(SECOND_PERSON))).cast("double"))
+    found = F.size("_l").cast("double")
+    signs = F.col("_t").rlike(r"[@0-9!|$]")
+    rows = rows.withColumn("_hidden", F.when(signs, F.greatest(F.size(hits(revealed(F.col("_t")))) - F.size("_l"), F.lit(0))).otherwise(0).cast("double"))
+    kind = lambda w: F.when(held(w), 1).when(w.isin(SECOND_PERSON), 2).otherwise(0)
+    close = lambda m: F.size(F.filter(F.transform(m, lambda x, i: (x == 1) & F.array_contains(F.slice(m, F.greatest(i - 3, F.lit(0)) + 1, 7), 2)), lambda x: x))
+    near = F.when((F.size("_l") > 0) & (F.col("_second") > 0), let(F.transform("_w", kind), close)).otherwise(0).cast("double")
+    n = F.greatest(F.size("_w"), F.lit(1)).cast("double")
     chars = F.greatest(F.length("_t"), F.lit(1)).cast("double")
     share = lambda signs: (F.length("_t") - F.length(F.translate("_t", signs, ""))) / chars
     return rows.select(
         *docs.columns,
-        (count(F.col("_m"), 1, 2) / n).alias("lexicon_density"),
-        F.log1p(count(F.col("_m"), 1, 2)).alias("lexicon_hits"),
-        F.col("_kinds").alias("lexicon_kinds"),
-        (count(F.col("_m"), 2) / n).alias("hidden_density"),
-        F.when(count(F.col("_m"), 1, 2) > 0, near / n).otherwise(0.0).alias("addressed_density"),
-        (count(F.col("_m"), 3) / n).alias("second_density"),
+        ((found + F.col("_hidden")) / n).alias("lexicon_density"),
+        F.log1p(found + F.col("_hidden")).alias("lexicon_hits"),
+        F.size(F.array_distinct("_l")).cast("double").alias("lexicon_kinds"),
+        (F.col("_hidden") / n).alias("hidden_density"),
+        (near / n).alias("addressed_density"),
+        (F.col("_second") / n).alias("second_density"),
         share("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("capitals"),
         share("!").alias("exclaims"),
         share("#*$%&|<>@").alias("symbols"),
-        (F.size(F.filter(ws, lambda w: w.rlike(r"[A-Za-z][@0-9$*!|]+[A-Za-z]"))).cast("double") / n).alias("obfuscated"),
-        F.log1p(F.size("_m").cast("double")).alias("log_words"),
+        (F.regexp_count("_t", F.lit("[A-Za-z][@0-9$*!|]+[A-Za-z]")) / n).alias("obfuscated"),
+        F.log1p(F.size("_w").cast("double")).alias("log_words"),
     )
 
 
