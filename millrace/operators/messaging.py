@@ -118,3 +118,34 @@ def credited(messages: DataFrame, credits: DataFrame, threshold: int, regulated:
     waiting = F.greatest(-F.col("_balance"), F.lit(0))
     status = F.when(jumps | ((F.col("_balance") > 0) & regulated) | (~regulated & (waiting == 0)), "DELIVERED").when(waiting + 1 >= threshold, "BACKPRESSURE_REQUIRED").otherwise("DELIVERED")
     return both.where(F.col("_n").isNull()).withColumn("waiting", waiting).withColumn("status", status).drop("_n", "_balance")
+
+
+def by_validity(messages: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
+    """Copies for subscriptions that change while messages flow: (subscriber, payload_type, at, action), action `set`
+    (this type replaces all of the subscriber's), `add` or `remove`. A change holds from its place on, until the next
+    change of the subscriber that sets, or that names the type.
+
+    Each change becomes one row with the place where it ends, so a message meets the rows of its type alone.
+    """
+    later = Window.partitionBy("subscriber").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("subscriber", "payload_type").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.least(F.min(F.when(F.col("action") == "set", F.col("at"))).over(later), F.min("at").over(same))
+    held = changes.withColumn("until", ends).where("action <> 'remove'").select("subscriber", F.col("payload_type").alias("_type"), "at", "until")
+    there = (F.col(seq) >= F.col("at")) & (F.col("until").isNull() | (F.col(seq) < F.col("until")))
+    return messages.join(held, messages["payload_type"] == held["_type"]).where(there).drop("_type", "at", "until")
+
+
+def received(messages: DataFrame, system: str, origin: Column, target: Column, is_ack: Column) -> DataFrame:
+    """What a system does with a message from a channel (column `action`): its own are dropped, acks to it complete a
+    pending send, messages to it are delivered, others are only sniffed for typed subscribers."""
+    action = F.when(origin == system, "own").when(is_ack & (target == system), "ack").when(target == system, "deliver").otherwise("sniff")
+    return messages.withColumn("action", action)
+
+
+def broadcast_scope(messages: DataFrame, gates: DataFrame, scope: str, channel: str | None = None, local: str = "local") -> DataFrame:
+    """A copy a gate (gate, kind) in the scope: `local` the loopback gate, `remote` all others, `all` every gate of a channel."""
+    chosen = {"local": F.col("kind") == local, "remote": F.col("kind") != local, "all": F.col("channel") == channel}[scope]
+    names = [F.lit(r.gate) for r in gates.where(chosen).select("gate").distinct().orderBy("gate").collect()]  # a row a gate
+    if not names:
+        return messages.limit(0).withColumn("gate", F.lit(None).cast("string"))
+    return messages.withColumn("gate", F.explode(F.array(*names)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.position import position
-from .functions.values import attempt, channel_parts, name_uuid, recovered
+from .functions.values import attempt, channel_parts, name_uuid, recovered, worst
 from .operators import discovery, messaging, routing, statistics, verbs
 from .operators.flow import Map, Reduce, ReduceEach, Service, Zip, rules_of
 from .plans.graph import FlowGraph
@@ -421,3 +421,99 @@ def stream_reduce(spark, sf_dir):
     finally:
         spark.conf.set(provider, before)
     return spark.read.schema("routee long, seq long, value string").parquet(f"{work}/out")
+
+
+@query("SELECT user_id, list(value ORDER BY event_id) AS snapshots, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM events WHERE event_type = 'view' GROUP BY 1")
+def snapshot_totals(spark, sf_dir):
+    views = tables.table(spark, sf_dir, "events").where("event_type = 'view'")
+    lists = verbs.to_array(views, F.col("value"), ["user_id"], "event_id", "snapshots")
+    return lists.withColumn("total", F.aggregate("snapshots", F.lit(0).cast("long"), lambda a, v: a + F.floor(v)))
+
+
+_GATES = "(SELECT n_name AS gate, CASE WHEN n_nationkey < 3 THEN 'local' ELSE 'remote' END AS kind, r_name AS channel FROM nation JOIN region ON n_regionkey = r_regionkey) g"
+
+
+@query(f"SELECT gate, count(*) AS n FROM events, {_GATES} WHERE event_type = 'error' AND kind <> 'local' GROUP BY 1")
+def broadcast_remote(spark, sf_dir):
+    gates = tables.table(spark, sf_dir, "nation").select(F.col("n_name").alias("gate"), F.when(F.col("n_nationkey") < 3, "local").otherwise("remote").alias("kind"))
+    errors = tables.messages(spark, sf_dir).where("payload_type = 'error'").select("seq")
+    return messaging.broadcast_scope(errors, gates, "remote").groupBy("gate").agg(F.count("*").alias("n"))
+
+
+_CHANGES = [("a", "click", 10, "set"), ("a", "view", 50, "add"), ("a", "error", 300, "set"), ("b", "click", 0, "add"), ("b", "click", 400, "remove"), ("b", "click", 700, "add")]
+_HELD = "(VALUES ('a', 'click', 10, 300), ('a', 'view', 50, 300), ('a', 'error', 300, NULL), ('b', 'click', 0, 400), ('b', 'click', 700, NULL)) h(subscriber, payload_type, f, u)"
+
+
+@query(f"SELECT subscriber, payload_type, count(*) AS n, min(event_id) AS first_seq FROM events JOIN {_HELD} ON event_type = payload_type AND event_id >= f AND (u IS NULL OR event_id < u) GROUP BY 1, 2")
+def resubscription(spark, sf_dir):
+    changes = spark.createDataFrame(_CHANGES, "subscriber string, payload_type string, at long, action string")
+    copies = messaging.by_validity(tables.messages(spark, sf_dir).select("seq", "payload_type"), changes)
+    return copies.groupBy("subscriber", "payload_type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+@query("""SELECT action, count(*) AS n FROM (SELECT CASE WHEN user_id % 5 = 1 THEN 'own' WHEN event_type = 'signup' AND event_id % 5 = 1 THEN 'ack'
+WHEN event_id % 5 = 1 THEN 'deliver' ELSE 'sniff' END AS action FROM events) GROUP BY 1""")
+def remote_receive(spark, sf_dir):
+    m = tables.messages(spark, sf_dir).select("seq", "payload_type", "actor")
+    name = lambda c: F.concat(F.lit("system-"), (c % 5).cast("string"))
+    out = messaging.received(m, "system-1", name(F.col("actor")), name(F.col("seq")), F.col("payload_type") == "signup")
+    return out.groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, CASE WHEN value > 100 THEN 'BACKPRESSURE_REQUIRED' WHEN event_type = 'error' THEN 'NOT_DELIVERED' ELSE 'DELIVERED' END AS status FROM events)
+SELECT user_id, CASE max(CASE status WHEN 'NOT_DELIVERED' THEN 2 WHEN 'BACKPRESSURE_REQUIRED' THEN 1 ELSE 0 END) WHEN 2 THEN 'NOT_DELIVERED' WHEN 1 THEN 'BACKPRESSURE_REQUIRED' ELSE 'DELIVERED' END AS worst,
+arg_max(status, event_id) AS last FROM s GROUP BY 1""")
+def status_combination(spark, sf_dir):
+    status = F.when(F.col("value") > 100, "BACKPRESSURE_REQUIRED").when(F.col("event_type") == "error", "NOT_DELIVERED").otherwise("DELIVERED")
+    e = tables.table(spark, sf_dir, "events").withColumn("status", status)
+    return e.groupBy("user_id").agg(worst(F.col("status")).alias("worst"), F.max_by("status", "event_id").alias("last"))
+
+
+@query("""SELECT s_suppkey, m.event_id AS report, m.value AS load FROM supplier,
+(SELECT event_id, value FROM events WHERE event_type = 'view' ORDER BY event_id DESC LIMIT 1) m""")
+def monitored_services(spark, sf_dir):
+    reports = tables.table(spark, sf_dir, "events").where("event_type = 'view'").select("event_type", "event_id", "value")
+    r = discovery.latest(reports, ["event_type"], "event_id", F.lit(False)).first()  # one report
+    return tables.table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(r.event_id).cast("long").alias("report"), F.lit(r.value).cast("double").alias("load"))
+
+
+@query("SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 1")
+def duplicate_systems(spark, sf_dir):
+    s = tables.table(spark, sf_dir, "supplier").join(tables.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.groupBy("n_name").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT place, s_suppkey FROM (VALUES (0, 'Supplier#000000003'), (1, 'nobody'), (2, 'Supplier#000000001')) w(place, name) JOIN supplier ON s_name = name")
+def resolve_many(spark, sf_dir):
+    wanted = tables.collection(spark, [("Supplier#000000003",), ("nobody",), ("Supplier#000000001",)], "name string")
+    return wanted.join(tables.table(spark, sf_dir, "supplier"), F.col("name") == F.col("s_name")).select(F.col("seq").cast("int").alias("place"), "s_suppkey")
+
+
+@query("""SELECT event_id AS seq, strftime(ts, '%Y-%m-%d') || ' SENDER: ' || user_id || ' DESTINATION: sink SEQ: ' || event_id || ' TYPE: ' || event_type || ' PAYLOAD: ' || props AS line FROM events""")
+def message_log(spark, sf_dir):
+    m = tables.messages(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("sink", F.lit("sink"))
+    return tables.log_line(m, "day", "actor", "sink", "seq", "payload_type", "props")
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 25")
+def sorted_limit(spark, sf_dir):
+    return verbs.ordered(tables.table(spark, sf_dir, "events").select("event_id", "value"), F.desc("value"), "event_id").limit(25)
+
+
+@query("SELECT o_orderkey, o_custkey AS actor FROM orders WHERE o_orderkey = 7 LIMIT 1")
+def keyed_lookup(spark, sf_dir):
+    return tables.lookup(tables.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("actor")), "o_orderkey", 7)
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT 'order' AS kind FROM orders UNION ALL SELECT event_type FROM events) GROUP BY 1")
+def union_of_sources(spark, sf_dir):
+    both = verbs.concat(tables.table(spark, sf_dir, "orders").select(F.lit("order").alias("kind")), tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind")))
+    return both.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT user_id AS k, max(event_id) AS last FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT c.user_id, count(*) AS asked, count(*) FILTER (WHERE a.last IS NOT NULL) AS acked FROM events c LEFT JOIN a ON c.user_id = a.k WHERE c.event_type = 'click' GROUP BY 1""")
+def ack_by_actor(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    out = messaging.acknowledged(e.where("event_type = 'click'").select("user_id"), e.where("event_type = 'purchase'").select("user_id"), "user_id")
+    return out.groupBy("user_id").agg(F.count("*").alias("asked"), F.sum((F.col("status") == "DELIVERED").cast("long")).alias("acked"))
