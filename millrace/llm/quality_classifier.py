@@ -120,11 +120,11 @@ def _score(model, prior: float):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3_000, threshold: float = 0.3, keep: bool = False) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3_000, max_train_chars: int = 200_000, threshold: float = 0.3, keep: bool = False) -> DataFrame:
     """doc_id (or with `keep` all columns of `docs`), score (probability of label 1) and predicted of every document.
 
     `labels` has doc_id and label. The model is fitted on the driver from a bounded sample: the first `max_train`
-    labelled doc_ids by hash and as many of label 0 alone (the rarer class); its weights, at most `max_grams`, are
+    labelled doc_ids by hash and as many of label 0 alone (the rarer class), those of up to `max_train_chars`; its weights, at most `max_grams`, are
     broadcast. A doc_id with several labels counts as 1 if any is. A null text counts as empty and scores by the bias
     alone; an empty table gives no rows; repeated rows fare alike. Labels of one class give every row that class's mean.
     """
@@ -133,7 +133,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3_000, t
     picked = bounded_ids(known, max_train).union(bounded_ids(known.where("label = 0"), max_train)).distinct()
     sample = known.join(F.broadcast(picked), "doc_id")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    train = sorted((r.doc_id, r.text or "", r.label) for r in rows.join(F.broadcast(sample), "doc_id").collect())
+    chosen = rows.join(F.broadcast(sample), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= max_train_chars)
+    train = sorted((r.doc_id, r.text or "", r.label) for r in chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).collect())
     kinds = {r[2] for r in train}
     model, prior = None, float(min(kinds, default=0))
     if kinds == {0, 1}:

@@ -90,7 +90,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, rounds
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     known = known.join(F.broadcast(bounded_ids(labels, max_train)), "doc_id")  # so bounded by max_train as well
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sample = cut(rows.join(F.broadcast(known), "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(4))))
+    chosen = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    sample = cut(chosen.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(4))))
     fitting = sample.where("part < 3")
     lexicon = learn_lexicon(fitting)
     featured = cut(dense_features(sample, lexicon).drop("text").repartition(4, "doc_id"))
