@@ -35,3 +35,15 @@ def test_chunks_and_log_lines(spark):
     assert [r.chunk for r in tables.chunked(df, "t", 2).orderBy("chunk_at").collect()] == ["ab", "cd", "e"]
     m = spark.createDataFrame([(7, "a", "b", "k", "p", "t0")], "seq long, s string, d string, k string, p string, t string")
     assert tables.log_line(m, "t", "s", "d", "seq", "k", "p").first().line.startswith("t0 SENDER: a DESTINATION: b SEQ: 7")
+
+
+def test_stream_ask_answers_within_the_timeout(spark, tmp_path):
+    rows = [(1, "q", "2024-01-01 00:00:00"), (2, "q", "2024-01-01 00:00:00"), (1, "r", "2024-01-01 00:30:00"), (2, "r", "2024-01-01 05:00:00"), (9, "q", "2024-01-03 00:00:00"), (9, "r", "2024-01-03 00:00:01")]
+    spark.createDataFrame(rows, "k long, kind string, t string").withColumn("t", F.to_timestamp("t")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    df = tables.stream(spark, str(tmp_path / "in"), "k long, kind string, t timestamp")
+    asked = df.where("kind = 'q'").select("k", F.col("t").alias("request_at"))
+    replies = df.where("kind = 'r'").select("k", F.col("t").alias("reply_at"))
+    out = stateful.answered_stream(asked, replies, "k", "2 HOURS", "10 minutes").select(F.col("a.k").alias("k"), "reply_at")
+    stateful.drain(out, str(tmp_path / "c"), lambda d, _: tables.append(d, str(tmp_path / "out")))
+    got = {r.k: r.reply_at is not None for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[1] is True and got.get(2, False) is False
