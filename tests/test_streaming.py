@@ -47,3 +47,24 @@ def test_stream_ask_answers_within_the_timeout(spark, tmp_path):
     stateful.drain(out, str(tmp_path / "c"), lambda d, _: tables.append(d, str(tmp_path / "out")))
     got = {r.k: r.reply_at is not None for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[1] is True and got.get(2, False) is False
+
+
+def drained(spark, tmp_path, rows, schema, make):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stateful.drain(make(tables.stream(spark, str(tmp_path / "in"), schema, 100)), str(tmp_path / "c"), lambda d, _: tables.append(d, str(tmp_path / "out")))
+    return [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()]
+
+
+def test_lowest_load_takes_the_first_of_the_least_busy(spark, tmp_path):
+    rows = [[("s", 0, None), ("s", 1, None), ("s", 2, 1), ("s", 3, None), ("s", 4, None), ("s", 5, None)]]
+    got = drained(spark, tmp_path, rows, "service string, seq long, finished long", lambda d: stateful.lowest_load_stream(d, 2))
+    assert got == [("s", 0, 0), ("s", 1, 1), ("s", 3, 1), ("s", 4, 0), ("s", 5, 1)]
+
+
+def test_delay_doubles_and_halves_to_its_floor(spark, tmp_path):
+    slow = "BACKPRESSURE_REQUIRED"
+    rows = [[("p", 0, slow), ("p", 1, slow), ("p", 2, "DELIVERED"), ("p", 3, "DELIVERED"), ("p", 4, "DELIVERED")]]
+    got = drained(spark, tmp_path, rows, "producer string, seq long, status string", stateful.adaptive_delay_stream)
+    assert [d for _, _, d in got] == [2, 4, 2, 1, 1]
