@@ -4,8 +4,8 @@ hinge-loss model that dual coordinate descent fits."""
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,32 @@ def grams(text: str) -> set[str]:
     return out
 
 
+def frequent_grams(texts: list[str], min_docs: int, most: int) -> tuple[dict[str, int], list[np.ndarray]]:
+    """(numbers of the `most` grams that are in the most texts, `min_docs` at least, ties by the gram; each text's sorted
+    numbers).
+
+    A first pass counts texts by hash bucket alone, so the strings of rare grams are never held together.
+    """
+    mask = (1 << 22) - 1
+    buckets = np.zeros(mask + 1, dtype=np.int32)
+
+    def places(g: list[str]) -> np.ndarray:
+        return np.fromiter(map(hash, g), dtype=np.int64, count=len(g)) & mask
+
+    for t in texts:
+        buckets[np.unique(places(list(grams(t))))] += 1
+    met: dict[str, int] = {}
+    held = []
+    for t in texts:
+        g = list(grams(t))
+        held.append(np.array([met.setdefault(x, len(met)) for x in compress(g, buckets[places(g)] >= min_docs)], dtype=np.int32))
+    n = np.bincount(np.concatenate(held), minlength=len(met)) if held else np.zeros(0, dtype=np.int64)
+    top = sorted((-int(n[i]), g) for g, i in met.items() if n[i] >= min_docs)[:most]
+    number = np.full(len(met), -1, dtype=np.int32)
+    number[[met[g] for _, g in top]] = np.arange(len(top))
+    return {g: i for i, (_, g) in enumerate(top)}, [np.sort(x[x >= 0]) for x in (number[h] for h in held)]
+
+
 def train_nbsvm(texts: list[str], labels: list[int], min_docs: int = 3, max_grams: int = 200_000, c: float = 1.0, passes: int = 30, seed: int = 3) -> tuple[dict[str, float], float, float, float]:
     """(weight by gram, bias, and slope and offset of the logistic that turns a margin into a probability).
 
@@ -49,24 +75,21 @@ def train_nbsvm(texts: list[str], labels: list[int], min_docs: int = 3, max_gram
     that both have the same total. The logistic is fitted to margins of rows that its model has not seen.
     """
     y = np.where(np.array(labels) > 0, 1.0, -1.0)
-    rows = [grams(t) for t in texts]
-    seen = Counter(g for r in rows for g in r)
-    vocabulary = {g: i for i, (g, n) in enumerate(sorted(((g, n) for g, n in seen.items() if n >= min_docs), key=lambda x: (-x[1], x[0]))[:max_grams])}
-    rows = [np.array(sorted(vocabulary[g] for g in r if g in vocabulary), dtype=np.int64) for r in rows]
+    vocabulary, rows = frequent_grams(texts, min_docs, max_grams)
 
     def fit(which: np.ndarray) -> tuple[np.ndarray, float]:
         counts = np.ones((2, len(vocabulary)))
         for i in which:
             counts[int(y[i] > 0), rows[i]] += 1
         r = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-        values = [r[rows[i]] for i in which]
-        norms = np.array([np.sqrt(v @ v + 1.0) for v in values])
+        norms = np.array([np.sqrt(r[rows[i]] @ r[rows[i]] + 1.0) for i in which])
         most = c * np.where(y[which] > 0, len(which) / (2 * (y[which] > 0).sum()), len(which) / (2 * (y[which] < 0).sum()))
         w, b, alpha, rng = np.zeros(len(vocabulary)), 0.0, np.zeros(len(which)), np.random.default_rng(seed)
         for _ in range(passes):
             moved = 0.0
             for k in rng.permutation(len(which)):
-                i, v, n = which[k], values[k], norms[k]
+                i, n = which[k], norms[k]
+                v = r[rows[i]]
                 gradient = y[i] * ((w[rows[i]] @ v + b) / n) - 1.0  # each scaled row has length 1, its constant included
                 new = min(max(alpha[k] - gradient, 0.0), most[k])
                 step = (new - alpha[k]) * y[i] / n
