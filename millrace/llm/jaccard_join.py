@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, lowered, mix, steps, window_hashes, word_hashes
 
-TOKENS, LEAF, BLOCK, MARGIN = 128, 256, 512, 0.14
+TOKENS, LEAF, BLOCK, MARGIN = 128, 256, 256, 0.14
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
