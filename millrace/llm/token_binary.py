@@ -32,7 +32,7 @@ _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 IRREGULAR = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Distinct pieces whose ids a task remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -228,7 +228,9 @@ def _write(tokenizer_path: str, out: str, end_id: int):
         if not docs:
             return
         lengths = np.array([len(x) // 4 for x in parts], dtype=np.int64)
-        data = encode(np.array(docs, dtype=np.int64), lengths, np.frombuffer(b"".join(parts), dtype="<u4"))
+        joined = b"".join(parts)
+        parts.clear()
+        data = encode(np.array(docs, dtype=np.int64), lengths, np.frombuffer(joined, dtype="<u4"))
         task = TaskContext.get()
         store, path = fs.FileSystem.from_uri(out)
         name, draft = f"{path}/part-{task.partitionId():06d}.dac", f"{path}/.part-{task.partitionId():06d}-{task.taskAttemptId()}"
