@@ -55,13 +55,11 @@ def holds(lexicon: list[str]):
     tests = [lambda w, es=[e for e in lexicon if e[0] != "^"] or ["\x00"]: w.isin(es)]
     tests += [lambda w, k=k, es=es: (F.length(w) > k) & F.left(w, F.lit(k)).isin(es) for k, es in by.items() if es]
 
-    heads = sorted({e.lstrip("^")[: min(STEMS)] for e in lexicon})
-
     def test(w: Column) -> Column:
         out = tests[0](w)
         for t in tests[1:]:
             out = out | t(w)
-        return F.left(w, F.lit(min(STEMS))).isin(heads or ["\x00"]) & out  # settles most words with one lookup
+        return out
 
     return test
 
