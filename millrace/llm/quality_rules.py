@@ -7,9 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, bounded_ids, let, words
+from .common import WS, bounded_ids, cut, let, words
 
 SYMBOLS = "#*$%&|<>"
+#: Parts of the target, each scored against the others to set the threshold.
+FOLDS = 5
+#: Steps of a score that the threshold distinguishes.
+STEPS = 10_000
 
 
 def repeated_words(w: Column, span: int = 3) -> Column:
@@ -56,38 +60,83 @@ def gram_buckets(ws: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, scale: int, max_trusted: int) -> list[int]:
-    """round(scale * log(target / raw)) of every bucket: `buckets` numbers, the only rows that reach the driver.
+def fold_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+
+
+def log_ratios(target: list[int], raw: list[int], scale: int) -> list[int]:
+    """round(scale * log(target / raw)) of every bucket, both with 1 added."""
+    all_target, all_raw = sum(target) + len(target), sum(raw) + len(raw)
+    return [round(scale * (math.log((t + 1) / all_target) - math.log((r + 1) / all_raw))) for t, r in zip(target, raw, strict=True)]
+
+
+def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, scale: int, max_trusted: int) -> list[list[int]]:
+    """Ratios of every bucket against the whole target, then against the target without each of its FOLDS parts.
 
     Raw counts are over all documents, target counts over those whose doc_id is in `trusted` (a sample of `max_trusted`
-    of them, broadcast); both get 1 added.
+    of them, broadcast). At most `buckets` * (FOLDS + 1) counts reach the driver.
     """
     good = bounded_ids(trusted, max_trusted).withColumnRenamed("doc_id", "good")
     flagged = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(good), F.col("doc_id") == F.col("good"), "left")
-    grams = flagged.select(F.col("good").isNotNull().cast("int").alias("in_target"), F.explode(gram_buckets(words(F.col("text")), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target")).collect()
-    raw, target = [1] * buckets, [1] * buckets
-    for r in counts:
-        raw[r.bucket] += r.raw
-        target[r.bucket] += r.target
-    all_raw, all_target = sum(raw), sum(target)
-    return [round(scale * (math.log(t / all_target) - math.log(r / all_raw))) for t, r in zip(target, raw, strict=True)]
+    part = F.when(F.col("good").isNotNull(), fold_of(F.col("doc_id"))).otherwise(FOLDS).alias("part")
+    grams = flagged.select(part, F.explode(gram_buckets(words(F.col("text")), buckets)).alias("bucket"))
+    parts = [[0] * buckets for _ in range(FOLDS + 1)]
+    for r in grams.groupBy("part", "bucket").agg(F.count("*").alias("n")).collect():
+        parts[r.part][r.bucket] = r.n
+    raw, target = [sum(c) for c in zip(*parts, strict=True)], [sum(c) for c in zip(*parts[:FOLDS], strict=True)]
+    without = [[t - c for t, c in zip(target, parts[k], strict=True)] for k in range(FOLDS)]
+    return [log_ratios(t, raw, scale) for t in (target, *without)]
+
 
+def held_out_floor(scored: DataFrame, trusted: DataFrame, low: float, spare: float) -> float:
+    """The threshold that the trusted documents' held-out scores give: their `low` quantile, less `spare` of its distance to their median.
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: float = -0.2, max_trusted: int = 20_000, min_words: int = 50, max_repeated: int = 50, scale: int = 10_000) -> DataFrame:
+    Scores are counted by whole steps of 1 / STEPS, so that only distinct steps reach the driver and the quantiles are exact.
+    """
+    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
+    steps = scored.where("not base_failed").join(ids, "doc_id", "left_semi").groupBy(F.floor(F.col("held_out") * STEPS).alias("step")).count()
+    counts = sorted((r["step"], r["count"]) for r in steps.collect())
+    total = sum(n for _, n in counts)
+
+    def quantile(q: float) -> float:
+        run = 0
+        for step, n in counts:
+            run += n
+            if run > q * total:
+                return step / STEPS
+        return -math.inf
+
+    return quantile(low) - spare * (quantile(0.5) - quantile(low)) if counts else -math.inf
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: float | None = None, max_trusted: int = 20_000, min_words: int = 50, max_repeated: int = 50, scale: int = 10_000, low: float = 0.001, spare: float = 0.5) -> DataFrame:
     """doc_id, the base counts, base_failed, score and kept.
 
     `score` is the mean log-likelihood ratio per n-gram (0 for a document without words), summed in whole numbers so
-    that no order of rows changes it; a document is kept if no base rule fails and score >= `threshold` (clean documents outside the target's
-    sample score down to -0.16 where only 150 documents are trusted, and to -0.04 with 1,578). `trusted` has
+    that no order of rows changes it; a document is kept if no base rule fails and score >= `threshold`. `trusted` has
     the doc_ids of the trusted target; without any, every ratio falls to the raw counts' alone and all ratios compare
     with the uniform multinomial. Each row is judged by itself, so repeated rows fare alike.
+
+    If no threshold is given, it follows from the data: trusted documents that pass the base rules are scored against
+    the target without their own fifth of it, and held_out_floor() sets the threshold below these scores. It rises as
+    the target grows and new clean documents resemble it more. Without such documents nothing is known of clean
+    scores, and the base rules alone decide.
     """
     ratios = bucket_ratios(docs, trusted, buckets, scale, max_trusted)
-    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")  # folded to one literal of `buckets` ints
+    literal = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")  # noqa: E731 (folded to one literal)
     rows = base_rules(docs, min_words, max_repeated)
-    grams = gram_buckets(F.col("ws"), buckets)
-    total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
-    n = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
-    scored = rows.withColumn("score", F.coalesce(total, F.lit(0)) / (n * F.lit(float(scale)))).drop("ws")
+    n = F.greatest(2 * F.col("n_words") - 1, F.lit(1)) * F.lit(float(scale))
+    zero = F.lit(0).cast("long")
+    whole = lambda g: F.coalesce(F.aggregate(g, zero, lambda a, b: a + F.get(literal(ratios[0]), b)), zero)
+    if threshold is not None:
+        scored = rows.withColumn("score", whole(gram_buckets(F.col("ws"), buckets)) / n).drop("ws")
+    else:
+        folds = literal([x for fold in ratios[1:] for x in fold])
+        start = F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) * buckets
+        apart = lambda g: F.coalesce(F.aggregate(g, zero, lambda a, b: a + F.get(folds, start + b)), zero)
+        sums = let(gram_buckets(F.col("ws"), buckets), lambda g: F.struct(whole(g).alias("whole"), apart(g).alias("apart")))
+        scored = rows.withColumn("_sums", sums).withColumn("score", F.col("_sums.whole") / n).withColumn("held_out", F.col("_sums.apart") / n)
+        scored = cut(scored.drop("ws", "_sums"))
+        threshold = held_out_floor(scored, trusted, low, spare)
+        scored = scored.drop("held_out")
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(float(threshold))))

@@ -232,6 +232,18 @@ def test_quality_rules_drop_what_the_target_lacks(spark):
     assert quality_rules(df, trusted.limit(0), buckets=1024).count() == len(out)
 
 
+def test_quality_rules_set_their_threshold_by_held_out_scores(spark):
+    rng = random.Random(4)
+    good = {i: " ".join(f"w{rng.randrange(30)}" for _ in range(150)) for i in range(400)}
+    bad = {1000 + i: " ".join(f"w{rng.randrange(30)}" if j % 15 else f"buy{rng.randrange(9)}" for j in range(150)) for i in range(30)}
+    df = frame(spark, good | bad)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 400, 2)] + [(None,)], "doc_id long")
+    out = {r.doc_id: r for r in quality_rules(df, trusted).collect()}
+    assert not any(out[i].base_failed for i in good | bad) and min(out[i].score for i in bad) > -0.2
+    assert not any(out[i].kept for i in bad) and all(out[i].kept for i in good), (max(out[i].score for i in bad), sorted(out[i].score for i in good)[:3])
+    assert {r.doc_id for r in quality_rules(df, trusted.limit(0)).collect() if r.kept} == {r.doc_id for r in out.values() if not r.base_failed}
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(8)
     rows = [(i, "w " * rng.choice([0, 1, 30, 400]), None if i % 11 == 0 else rng.choice(["b", "a", "d", "c"])) for i in range(800)] + [(5, "w w", "a")] * 3 + [(None, "w", None)]
