@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, bounded_ids, cut, let, words
+from .common import WS, cut, let, words
 
 SYMBOLS = "#*$%&|<>"
 #: Parts of the target, each scored against the others to set the threshold.
@@ -70,14 +70,14 @@ def log_ratios(target: list[int], raw: list[int], scale: int) -> list[int]:
     return [round(scale * (math.log((t + 1) / all_target) - math.log((r + 1) / all_raw))) for t, r in zip(target, raw, strict=True)]
 
 
-def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, scale: int, max_trusted: int) -> list[list[int]]:
+def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, scale: int) -> list[list[int]]:
     """Ratios of every bucket against the whole target, then against the target without each of its FOLDS parts.
 
-    Raw counts are over all documents, target counts over those whose doc_id is in `trusted` (a sample of `max_trusted`
-    of them, broadcast). At most `buckets` * (FOLDS + 1) counts reach the driver.
+    Raw counts are over all documents, target counts over all those whose doc_id is in `trusted`. Spark broadcasts the
+    ids while they are few, else it deals documents and ids out by doc_id. At most `buckets` * (FOLDS + 1) counts reach the driver.
     """
-    good = bounded_ids(trusted, max_trusted).withColumnRenamed("doc_id", "good")
-    flagged = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(good), F.col("doc_id") == F.col("good"), "left")
+    good = trusted.where("doc_id is not null").select(F.col("doc_id").alias("good")).distinct()
+    flagged = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(good, F.col("doc_id") == F.col("good"), "left")
     part = F.when(F.col("good").isNotNull(), fold_of(F.col("doc_id"))).otherwise(FOLDS).alias("part")
     grams = flagged.select(part, F.explode(gram_buckets(words(F.col("text")), buckets)).alias("bucket"))
     parts = [[0] * buckets for _ in range(FOLDS + 1)]
@@ -109,7 +109,7 @@ def held_out_floor(scored: DataFrame, trusted: DataFrame, low: float, spare: flo
     return quantile(low) - spare * (quantile(0.5) - quantile(low)) if counts else -math.inf
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: float | None = None, max_trusted: int = 20_000, min_words: int = 50, max_repeated: int = 50, scale: int = 10_000, low: float = 0.001, spare: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, threshold: float | None = None, min_words: int = 50, max_repeated: int = 50, scale: int = 10_000, low: float = 0.001, spare: float = 0.5) -> DataFrame:
     """doc_id, the base counts, base_failed, score and kept.
 
     `score` is the mean log-likelihood ratio per n-gram (0 for a document without words), summed in whole numbers so
@@ -122,7 +122,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, thre
     the target grows and new clean documents resemble it more. Without such documents nothing is known of clean
     scores, and the base rules alone decide.
     """
-    ratios = bucket_ratios(docs, trusted, buckets, scale, max_trusted)
+    ratios = bucket_ratios(docs, trusted, buckets, scale)
     literal = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")  # noqa: E731 (folded to one literal)
     rows = base_rules(docs, min_words, max_repeated)
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(1)) * F.lit(float(scale))

@@ -16,7 +16,7 @@ from millrace.llm.common import n_words
 from millrace.llm.decontaminate import leaks, without_leaks
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.mixing import mix_sources, mixed_documents, mixture
-from millrace.llm.quality_rules import base_rules, quality_rules
+from millrace.llm.quality_rules import base_rules, bucket_ratios, gram_buckets, log_ratios, quality_rules
 from millrace.llm.suffix_array import permuted_prefixes, suffix_array
 from millrace.llm.token_binary import DacFile, encode, encoder, token_binary
 
@@ -244,6 +244,25 @@ def test_quality_rules_set_their_threshold_by_held_out_scores(spark):
     assert {r.doc_id for r in quality_rules(df, trusted.limit(0)).collect() if r.kept} == {r.doc_id for r in out.values() if not r.base_failed}
 
 
+def test_quality_ratios_count_every_trusted_document(spark):
+    n = 20_100
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text")).union(spark.createDataFrame([(None, "w1")] * 5, "doc_id long, text string"))
+    trusted = spark.range(n).select(F.col("id").alias("doc_id")).union(spark.createDataFrame([(3,), (None,)], "doc_id long"))
+    counts = Counter(i % 7 for i in range(n))
+    bucket = {r.w: r.b[0] for r in spark.range(7).select(F.col("id").alias("w"), gram_buckets(F.array(F.concat(F.lit("w"), "id")), 64).alias("b")).collect()}
+    target, raw = [0] * 64, [0] * 64
+    for w, b in bucket.items():
+        target[b] += counts[w]
+        raw[b] += counts[w] + 5 * (w == 1)
+    few = bucket_ratios(docs, trusted, 64, 10_000)
+    assert few[0] == log_ratios(target, raw, 10_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert bucket_ratios(docs, trusted, 64, 10_000) == few
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(8)
     rows = [(i, "w " * rng.choice([0, 1, 30, 400]), None if i % 11 == 0 else rng.choice(["b", "a", "d", "c"])) for i in range(800)] + [(5, "w w", "a")] * 3 + [(None, "w", None)]
