@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import lowered, mix, steps, window_hashes, word_hashes
 
-#: 1: the word counts, 0: it may be anything. Any two differ by more than a shift.
-MASKS = ("111010110011", "110110011101", "101101101101", "111100001111")
-#: Items shorter than every mask are sought by their first words.
-SHORT = "11111"
+#: 1: the word counts, 0: it may be anything. In every window of 10 to 24 words, at least one place of one of them is
+#: free of any floor(n / 4) substituted words; so are windows of 8 and 9 words with none and one.
+MASKS = ("111011", "110100011", "10010111", "111000101", "11111")
+#: The same for items of LEAST_ITEM to LONG - 1 words.
+SHORT = ("1111", "11101", "11011", "10111", "100111")
+LEAST_ITEM, LONG = 5, 10
 #: Items that one pass takes: the broadcast tables are bounded by this, whatever the benchmark holds.
 BLOCK_ITEMS = 20_000
 BITS = 22
@@ -36,19 +38,14 @@ def offsets(mask: str) -> list[int]:
 def _index(items: list[tuple], masks: tuple[str, ...]) -> dict:
     """Tables of one block of the benchmark: its words, and its seeds sorted by hash for each mask."""
     hashes, at = word_hashes([t.lower().encode() for _, t in items])
+    n = np.repeat(np.diff(at), np.diff(at))  # for every word, the words of its item and those from it to the end
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(hashes))
     seeds = []
-    span = max(map(len, masks))
-    for mask in (*masks, SHORT):
-        h, place = window_hashes(hashes, offsets(mask)), []
-        for k in range(len(items)):
-            n = int(at[k + 1] - at[k])
-            if mask == SHORT:
-                place += [int(at[k])] if len(SHORT) <= n < span else []
-            else:
-                place += range(int(at[k]), int(at[k + 1]) - len(mask) + 1)
-        place = np.array(place, dtype=np.int64)
-        order = np.argsort(h[place], kind="stable") if len(place) else place
-        seeds.append((offsets(mask), h[place][order] if len(place) else np.zeros(0, np.uint64), place[order]))
+    for mask, fits in [(m, n >= LONG) for m in masks] + [(m, (n >= LEAST_ITEM) & (n < LONG)) for m in SHORT]:
+        place = np.flatnonzero(fits & (left >= len(mask)))
+        h = window_hashes(hashes, offsets(mask))[place] if len(place) else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        seeds.append((offsets(mask), h[order], place[order]))
     used = np.zeros(1 << BITS, dtype=bool)
     used[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
     return {"ids": [i for i, _ in items], "words": hashes, "at": at, "seeds": [s for s in seeds if len(s[1])], "used": used}
@@ -77,17 +74,25 @@ def _hits(words: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(places), np.concatenate(items)) if places else (np.zeros(0, np.int64),) * 2
 
 
-def _find(shared, window: int, share: float, like: str):
-    def verify(words: np.ndarray, doc: tuple[int, int], item: np.ndarray, start: int) -> tuple[float, int, int]:
-        """Best share of equal words in a window of the item laid on the document from `start`; words equal and compared."""
-        a, b = max(start, doc[0]), min(start + len(item), doc[1])
-        size = min(window, len(item))
-        if b - a < size:
-            return 0.0, 0, size
-        equal = np.concatenate([[0], np.cumsum(words[a:b] == item[a - start : b - start])])
-        best = int((equal[size:] - equal[:-size]).max())
-        return best / size, int(equal[-1]), b - a
+def _laid(words: np.ndarray, at: np.ndarray, index: dict, doc: np.ndarray, item: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """For items laid on documents from `start`: best share of equal words in a window of the item; words equal and compared."""
+    first, n = index["at"][item], index["at"][item + 1] - index["at"][item]
+    a, b = np.maximum(start, at[doc]), np.minimum(start + n, at[doc + 1])
+    begin = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(row)) - begin[row]
+    place = start[row] + within
+    inside = np.flatnonzero((place >= a[row]) & (place < b[row]))
+    equal = np.zeros(len(row) + 1, dtype=np.int64)
+    equal[1 + inside] = words[place[inside]] == index["words"][(first[row] + within)[inside]]
+    equal = np.cumsum(equal)
+    size = np.minimum(window, n)
+    ends = np.arange(1, len(row) + 1)
+    sums = np.where(within + 1 >= size[row], equal[ends] - equal[np.maximum(ends - size[row], 0)], 0)
+    return np.where(b - a < size, 0, np.maximum.reduceat(sums, begin)) / size, equal[begin + n] - equal[begin], b - a
+
 
+def _find(shared, window: int, share: float, like: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
@@ -100,11 +105,16 @@ def _find(shared, window: int, share: float, like: str):
                     continue
                 doc, item = np.searchsorted(at, place, "right") - 1, np.searchsorted(index["at"], item_place, "right") - 1
                 start = place - (item_place - index["at"][item])
-                for d, i, s in np.unique(np.stack([doc, item, start], axis=1), axis=0).tolist():  # each alignment once
-                    got = verify(words, (int(at[d]), int(at[d + 1])), index["words"][index["at"][i] : index["at"][i + 1]], s)
-                    if got[0] >= share:
-                        at_doc = max(0, s - int(at[d]))
-                        found[first + d, i] = max(found.get((first + d, i), (0,)), (*got, -at_doc))
+                low, width = int(start.min()), int(start.max() - start.min()) + 1
+                key = np.unique((doc * len(index["ids"]) + item) * width + (start - low))  # each alignment once
+                start, item, doc = key % width + low, key // width % len(index["ids"]), key // width // len(index["ids"])
+                for x, y in steps(np.diff(index["at"])[item].tolist()):
+                    got = _laid(words, at, index, doc[x:y], item[x:y], start[x:y], window)
+                    for k in np.flatnonzero(got[0] >= share).tolist():
+                        d, i = int(doc[x + k]), int(item[x + k])
+                        at_doc = max(0, int(start[x + k]) - int(at[d]))
+                        row = (float(got[0][k]), int(got[1][k]), int(got[2][k]), -at_doc)
+                        found[first + d, i] = max(found.get((first + d, i), (0,)), row)
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array([d for d, _ in found])), pa.array([index["ids"][i] for _, i in found], _KINDS.get(like, pa.int64()))] + [pa.array([v[k] for v in found.values()], pa.float64() if k == 0 else pa.int64()) for k in range(3)] + [pa.array([-v[3] for v in found.values()], pa.int64())],

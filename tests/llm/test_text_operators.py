@@ -1,6 +1,7 @@
 """Operators on texts against brute force, with nulls, empty and long texts, ties, repeats, empty tables, odd columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.llm import jaccard_join as jj
 from millrace.llm import suffix_dedup as sd
 from millrace.llm.common import n_words
-from millrace.llm.decontaminate import leaks, without_leaks
+from millrace.llm.decontaminate import MASKS, SHORT, leaks, offsets, without_leaks
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.mixing import mix_sources, mixed_documents, mixture
 from millrace.llm.quality_rules import base_rules, bucket_ratios, gram_buckets, log_ratios, quality_rules
@@ -321,6 +322,48 @@ def test_leaks_are_caught_with_substitutions_and_clean_texts_left(spark):
     assert leaks(empty(spark), bench).count() == 0 and leaks(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("masks", "lengths"), [(MASKS, range(10, 25)), (SHORT, range(5, 10))])
+def test_seeds_survive_every_quarter_of_substitutions(masks, lengths):
+    for n in lengths:
+        faults = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 4)], dtype=np.int64)
+        for mask in masks:
+            for at in range(n - len(mask) + 1):
+                faults = faults[faults & (sum(1 << o for o in offsets(mask)) << at) != 0]
+        assert len(faults) == 0, n
+
+
+def leak_brute(texts, items, least=8):
+    """(doc_id, item_id) for which some alignment has 75 % of a window of 24 words, the item or the document equal."""
+    found = set()
+    for (d, w), (k, p) in itertools.product(texts.items(), items.items()):
+        n, size = len(p), min(24, len(p))
+        places = {x: [j for j, y in enumerate(w) if y == x] for x in p}
+        equal = defaultdict(set)
+        for i, x in enumerate(p):
+            for j in places[x]:
+                equal[j - i].add(i)
+        for hit in equal.values():
+            best = max(sum(i in hit for i in range(s, s + size)) for s in range(n - size + 1))
+            if best >= 0.75 * size or (len(w) < size and len(hit) >= max(least, 0.75 * len(w))):
+                found.add((d, k))
+    return found
+
+
+def test_leaks_equal_brute_force_at_three_quarters(spark):
+    rng = random.Random(6)
+    items = {n: [f"i{n}_{j}" if n % 3 else f"i{rng.randrange(80)}" for j in range(n)] for n in range(5, 40)}
+    texts = {}
+    for d in range(600):
+        p = list(items[5 + d % 35])
+        for j in rng.sample(range(len(p)), len(p) // 4):
+            p[j] = "other"
+        texts[d] = words(rng, 30) + p + words(rng, 30)
+    bench = spark.createDataFrame([(k, " ".join(p)) for k, p in items.items()], "item_id int, text string")
+    want = leak_brute(texts, items)
+    assert len(want) > 580
+    assert {(r.doc_id, r.item_id) for r in leaks(frame(spark, {d: " ".join(w) for d, w in texts.items()}), bench).collect()} == want
+
+
 def tokenizer_path():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
