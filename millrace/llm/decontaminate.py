@@ -23,6 +23,8 @@ MASKS = ("111011", "110100011", "10010111", "111000101", "11111")
 #: The same for items of LEAST_ITEM to LONG - 1 words.
 SHORT = ("1111", "11101", "11011", "10111", "100111")
 LEAST_ITEM, LONG = 5, 10
+#: Equal words that a document shorter than the window needs at least.
+LEAST_EQUAL = 8
 #: Items that one pass takes: the broadcast tables are bounded by this, whatever the benchmark holds.
 BLOCK_ITEMS = 20_000
 BITS = 22
@@ -75,7 +77,10 @@ def _hits(words: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _laid(words: np.ndarray, at: np.ndarray, index: dict, doc: np.ndarray, item: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """For items laid on documents from `start`: best share of equal words in a window of the item; words equal and compared."""
+    """For items laid on documents from `start`: best share of equal words in a window of the item; words equal and compared.
+
+    Places outside the document are unequal. A shorter document is a window itself, if LEAST_EQUAL words are equal.
+    """
     first, n = index["at"][item], index["at"][item + 1] - index["at"][item]
     a, b = np.maximum(start, at[doc]), np.minimum(start + n, at[doc + 1])
     begin = np.cumsum(n) - n
@@ -89,7 +94,9 @@ def _laid(words: np.ndarray, at: np.ndarray, index: dict, doc: np.ndarray, item:
     size = np.minimum(window, n)
     ends = np.arange(1, len(row) + 1)
     sums = np.where(within + 1 >= size[row], equal[ends] - equal[np.maximum(ends - size[row], 0)], 0)
-    return np.where(b - a < size, 0, np.maximum.reduceat(sums, begin)) / size, equal[begin + n] - equal[begin], b - a
+    best, total, length = np.maximum.reduceat(sums, begin) / size, equal[begin + n] - equal[begin], at[doc + 1] - at[doc]
+    short = (length < size) & (total >= LEAST_EQUAL)
+    return np.where(short, np.maximum(best, total / np.maximum(length, 1)), best), total, b - a
 
 
 def _find(shared, window: int, share: float, like: str):
@@ -159,7 +166,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, share: float
     """doc_id, item_id, share, n_equal, n_compared, word_at: a row for each document and benchmark item that overlap.
 
     They overlap if, under the alignment of some shared seed, `share` of a window of min(`window`, the item's words)
-    words are equal. Words are lower-cased runs of letters, digits and underscores. Items of fewer than five words, null
+    words are equal; places of the window outside the document are unequal. A document of fewer words than the window is
+    a window itself, of which LEAST_EQUAL words at least have to be equal. MASKS and SHORT leave no overlap of a share of
+    0.75 in 24 words out. Words are lower-cased runs of letters, digits and underscores. Items of fewer than five words, null
     texts and empty texts overlap nothing; of repeated doc_ids or item_ids the best overlap is returned. The benchmark
     goes by in blocks of BLOCK_ITEMS items, each broadcast and held against all documents.
     """

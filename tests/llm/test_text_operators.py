@@ -364,6 +364,25 @@ def test_leaks_equal_brute_force_at_three_quarters(spark):
     assert {(r.doc_id, r.item_id) for r in leaks(frame(spark, {d: " ".join(w) for d, w in texts.items()}), bench).collect()} == want
 
 
+def test_leaks_at_the_edges_of_documents(spark):
+    rng = random.Random(7)
+    items = {n: [f"i{n}_{j}" for j in range(n)] for n in (7, 12, 20, 59)}
+    texts = {0: words(rng, 40) + items[20][:19], 1: items[20][1:] + words(rng, 40), 2: items[59][20:40], 3: items[59][50:], 4: items[59][10:17], 5: items[59][10:18], 6: items[7][:6], 7: items[20][5:] + words(rng, 5)}
+    for d in range(10, 300):
+        p = list(items[rng.choice(list(items))])
+        for j in rng.sample(range(len(p)), rng.randrange(len(p) // 4)):
+            p[j] = "other"
+        a = rng.randrange(len(p) // 2)
+        p = p[a : a + rng.randrange(4, 40)]
+        texts[d] = p + words(rng, rng.choice([0, 2, 30])) if d % 2 else words(rng, rng.choice([0, 2, 30])) + p
+    bench = spark.createDataFrame([(k, " ".join(p)) for k, p in items.items()], "item_id int, text string")
+    want = leak_brute(texts, items)
+    assert {(0, 20), (1, 20), (2, 59), (3, 59), (5, 59), (6, 7), (7, 20)} <= want and not any(d == 4 for d, _ in want)
+    df = frame(spark, {d: " ".join(w) for d, w in texts.items()})
+    assert {(r.doc_id, r.item_id) for r in leaks(df, bench).collect()} == want
+    assert {r.doc_id for r in without_leaks(df, bench).collect()} == {None, *texts} - {d for d, _ in want}
+
+
 def tokenizer_path():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
