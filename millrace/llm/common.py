@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -64,6 +67,21 @@ def worker_state(key: str, make):
     return holder.__dict__[key]
 
 
+def tidy(run):
+    """`run` for mapInArrow, after whose task freed memory goes back to the system: the worker waits for others' tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError):  # other C libraries have none
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser on uint64."""
     with np.errstate(over="ignore"):

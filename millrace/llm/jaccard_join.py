@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lowered, mix, steps, window_hashes, word_hashes
+from .common import cut, lowered, mix, steps, tidy, window_hashes, word_hashes
 
 TOKENS, LEAF, BLOCK, MARGIN = 128, 256, 256, 0.14
 
@@ -283,7 +283,7 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, reca
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    signed = cut(rows.mapInArrow(_sign(shingle), "doc_id long, size long, f long, g long, sketch binary"))
+    signed = cut(rows.mapInArrow(tidy(_sign(shingle)), "doc_id long, size long, f long, g long, sketch binary"))
     some = signed.where("size > 0")
     classes = some.groupBy("f", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
@@ -293,7 +293,7 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, reca
         kept = 1 - math.exp(-kept)
     runs = math.ceil(math.log(1 - recall) / math.log(1 - kept))
     roots = mix(np.arange(1, runs + 1, dtype=np.uint64) + np.uint64(seed * 1000))
-    nodes = classes.select("rep", "sketch").mapInArrow(_descend(threshold, roots), "node long, rep long")
+    nodes = classes.select("rep", "sketch").mapInArrow(tidy(_descend(threshold, roots)), "node long, rep long")
     leaves = None
     for level in range(1, depth + 1):
         nodes = cut(nodes)
@@ -306,18 +306,18 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, reca
         if level == depth or not large.limit(1).count():
             break
         deeper = nodes.join(large, "node", "left_semi").join(classes.select("rep", "sketch"), "rep")
-        nodes = deeper.select("node", "rep", "sketch").mapInArrow(_descend(threshold, None), "node long, rep long")
+        nodes = deeper.select("node", "rep", "sketch").mapInArrow(tidy(_descend(threshold, None)), "node long, rep long")
     members = cut(leaves.distinct())
     lists = members.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
-    about = cut(classes.select("rep", "size", "copies", "sketch").mapInArrow(_small_sketch, "rep long, size long, copies long, small binary").join(lists, "rep"))
+    about = cut(classes.select("rep", "size", "copies", "sketch").mapInArrow(tidy(_small_sketch), "rep long, size long, copies long, small binary").join(lists, "rep"))
     placed = _blocks(members, sizes)
     key = ["node", "left", "right"]
     near = placed.join(about.select("rep", "size", "small", "leaves"), "rep").repartition(parts, *key).sortWithinPartitions(*key)
-    near = cut(near.mapInArrow(_near(threshold), "node long, left int, right int, side int, rep long"))
+    near = cut(near.mapInArrow(tidy(_near(threshold)), "node long, left int, right int, side int, rep long"))
     places = near.groupBy("rep").agg(F.collect_list(F.struct(*key, "side")).alias("places")).join(about.select("rep", "copies", "leaves"), "rep")
     held = rows.join(places, F.col("doc_id") == F.col("rep")).select("rep", "text", "copies", "leaves", "places").dropDuplicates(["rep"])
-    sets = held.mapInArrow(_with_sets(shingle), "node long, left int, right int, side int, rep long, copies long, leaves array<long>, size long, set binary")
-    links = cut(sets.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_verify(threshold), "rep long, links long, root long"))
+    sets = held.mapInArrow(tidy(_with_sets(shingle)), "node long, left int, right int, side int, rep long, copies long, leaves array<long>, size long, set binary")
+    links = cut(sets.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(tidy(_verify(threshold)), "rep long, links long, root long"))
     classed = classes.select("f", "g", "rep", "copies")
     total = links.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classed.join(total, "rep", "left").join(spread_smallest(links, parts), "rep", "left")

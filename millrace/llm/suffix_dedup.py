@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, cut, mix, powers, prefix_hash
+from .common import STEP_BYTES, cut, mix, powers, prefix_hash, tidy
 from .suffix_array import permuted_prefixes, suffix_array
 
 GRAM = 32
@@ -303,20 +303,20 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     sample = named.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SAMPLE)) == 0)
     # an anchor in HOT_SHARE of the sampled documents: at most (anchors a document) / HOT_SHARE of them
     least = max(HOT_LEAST, int(HOT_SHARE * sample.count()))
-    seen = sample.mapInArrow(_anchors(length), "h long").groupBy("h").count().where(F.col("count") >= least)
+    seen = sample.mapInArrow(tidy(_anchors(length)), "h long").groupBy("h").count().where(F.col("count") >= least)
     hot = np.array([r.h for r in seen.collect()], dtype=np.int64).view(np.uint64)
-    runs = named.mapInArrow(_runs(length, spark.sparkContext.broadcast(np.sort(hot))), ROUTED)
+    runs = named.mapInArrow(tidy(_runs(length, spark.sparkContext.broadcast(np.sort(hot)))), ROUTED)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    judged = cut(runs.repartition(n, "h").sortWithinPartitions("h", "c", "doc_id", "at").mapInArrow(_compare, ROUTED))
+    judged = cut(runs.repartition(n, "h").sortWithinPartitions("h", "c", "doc_id", "at").mapInArrow(tidy(_compare), ROUTED))
     gone = judged.where("known").select("doc_id", "at", "n")
     open_ = judged.where("not known").drop("known")
     wide = open_.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") >= WIDE_CONTEXTS).select("h", F.lit(True).alias("wide"))
     open_ = open_.join(wide, "h", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     by_doc = open_.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n", "wide")).alias("contexts"))
     placed = named.repartition(n, "doc_id")  # both joins read this exchange
-    contexts = placed.join(by_doc, "doc_id").select("doc_id", "text", "contexts").mapInArrow(_contexts(length), "h long, doc_id long, at long, n int, bytes binary")
-    found = contexts.repartition(n, "h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(_shards(length), "doc_id long, at long, n int")
+    contexts = placed.join(by_doc, "doc_id").select("doc_id", "text", "contexts").mapInArrow(tidy(_contexts(length)), "h long, doc_id long, at long, n int, bytes binary")
+    found = contexts.repartition(n, "h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(tidy(_shards(length)), "doc_id long, at long, n int")
     flags = gone.union(found).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     joined = placed.join(flags, "doc_id", "left").select("doc_id", "text", "runs")
     joined = joined.union(unnamed.select("doc_id", "text", F.lit(None).cast(joined.schema["runs"].dataType)))
-    return joined.mapInArrow(_cut_spans(length), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(tidy(_cut_spans(length)), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, worker_state
+from .common import shared_dir, tidy, worker_state
 
 MAGIC, HEAD, RANK_BITS = b"DAC1", "<4sBBHQQ", 512
 #: Pieces no pre-token of a byte-level BPE crosses: a word with at most one space before it, or white space. The class
@@ -31,8 +31,11 @@ MAGIC, HEAD, RANK_BITS = b"DAC1", "<4sBBHQQ", 512
 _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 IRREGULAR = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Distinct pieces whose ids a task remembers.
-REMEMBERED = 800_000
+#: About so many bytes of words and their ids are remembered by a worker; a word takes some 150 besides its own.
+REMEMBERED, WORD_BYTES = 128 << 20, 150
+#: Tokens that one step of the file format takes.
+CHUNK = 1 << 18
+_TWOS = 1 << np.arange(32, dtype=np.int64)
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -81,25 +84,41 @@ def unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
 
 def best_width(ids: np.ndarray) -> tuple[int, int]:
     """Widths of both levels that take the fewest bits for these ids."""
-    lengths = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=2)  # of ids by their bits
-    top = max(1, len(lengths) - 1)
+    lengths = np.zeros(33, dtype=np.int64)  # of ids by their bits
+    for a in range(0, len(ids), CHUNK):
+        lengths += np.bincount(np.searchsorted(_TWOS, ids[a : a + CHUNK], "right"), minlength=33)
+    top = max(1, int(np.flatnonzero(lengths).max(initial=0)))
     beyond = len(ids) - np.cumsum(lengths)  # ids of more than b bits
     cost = {b: len(ids) * (b + 1) + int(beyond[b]) * (top - b) for b in range(1, top + 1)}
     width = min(cost, key=lambda b: (cost[b], b))
     return width, top - width
 
 
-def encode(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file of these documents' ids."""
+def encoded(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
+    """One file of these documents' ids, in pieces; beyond `ids`, no more than a level is held at once."""
     w0, w1 = best_width(ids)
-    high = ids >> w0
-    goes_on = high > 0
-    bits = np.packbits(goes_on, bitorder="little")
-    bits = np.concatenate([bits, np.zeros(-len(bits) % (RANK_BITS // 8), dtype=np.uint8)])
-    ones = np.bitwise_count(bits.view(np.uint64)).reshape(-1, RANK_BITS // 64).sum(axis=1, dtype=np.uint64)
-    rank = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(ones, dtype=np.uint64)])
-    start = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(lengths, dtype=np.uint64)])
-    return b"".join([struct.pack(HEAD, MAGIC, w0, w1, 0, len(ids), len(doc_ids)), doc_ids.astype("<i8").tobytes(), start.tobytes(), pack(ids & ((1 << w0) - 1), w0), bits.tobytes(), rank.tobytes(), pack(high[goes_on], w1)])
+    yield struct.pack(HEAD, MAGIC, w0, w1, 0, len(ids), len(doc_ids))
+    yield doc_ids.astype("<i8").tobytes()
+    yield np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(lengths, dtype=np.uint64)]).tobytes()
+    low = np.uint32((1 << w0) - 1)
+    for a in range(0, len(ids), CHUNK):  # whole words: CHUNK is a multiple of 64
+        yield pack(ids[a : a + CHUNK] & low, w0)[:-8]
+    yield bytes(8)
+    bits, more = [], []
+    for a in range(0, len(ids), CHUNK):
+        high = ids[a : a + CHUNK] >> np.uint32(w0)
+        bits.append(np.packbits(high > 0, bitorder="little"))
+        more.append(high[high > 0])
+    bits.append(np.zeros(-sum(map(len, bits)) % (RANK_BITS // 8), dtype=np.uint8))
+    whole = np.concatenate(bits)
+    yield whole.tobytes()
+    ones = np.bitwise_count(whole.view(np.uint64)).reshape(-1, RANK_BITS // 64).sum(axis=1, dtype=np.uint64)
+    yield np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(ones, dtype=np.uint64)]).tobytes()
+    yield pack(np.concatenate(more) if more else np.zeros(0, dtype=np.uint32), w1)
+
+
+def encode(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    return b"".join(encoded(doc_ids, lengths, ids.astype("<u4", copy=False)))
 
 
 class DacFile:
@@ -169,6 +188,7 @@ class _Known(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model, self.line_end = self.tokenizer.model, self.whole("\n")
         self.marks = {c: self.whole(c) for c in ",.!|"}
+        self.room = REMEMBERED
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -185,8 +205,9 @@ class _Known(dict):
 
     def __missing__(self, key: str) -> bytes:
         ids = self.line_end + self.piece(key[1:]) if key[0] == "\n" else self.piece(" " + key)
-        if len(self) < REMEMBERED:
+        if self.room > 0:
             self[key] = ids
+            self.room -= WORD_BYTES + len(key) + len(ids)
         return ids
 
 
@@ -219,26 +240,27 @@ def _write(tokenizer_path: str, out: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, docs, parts = encoder(tokenizer_path), [], []
+        ids_of, docs, lengths, ids = encoder(tokenizer_path), [], [], bytearray()
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            texts = ["" if t is None else t for t in b.column("text").to_pylist()]
-            docs += b.column("doc_id").to_pylist()
-            parts += [ids_of(t) + end for t in texts]
-        if not docs:
+            docs.append(b.column("doc_id").to_numpy())
+            for a in range(0, b.num_rows, 256):
+                for t in b.column("text").slice(a, 256).to_pylist():
+                    before = len(ids)
+                    ids += ids_of(t or "")
+                    ids += end
+                    lengths.append((len(ids) - before) // 4)
+        if not lengths:
             return
-        lengths = np.array([len(x) // 4 for x in parts], dtype=np.int64)
-        joined = b"".join(parts)
-        parts.clear()
-        data = encode(np.array(docs, dtype=np.int64), lengths, np.frombuffer(joined, dtype="<u4"))
         task = TaskContext.get()
         store, path = fs.FileSystem.from_uri(out)
         name, draft = f"{path}/part-{task.partitionId():06d}.dac", f"{path}/.part-{task.partitionId():06d}-{task.taskAttemptId()}"
         store.create_dir(path, recursive=True)
         with store.open_output_stream(draft) as f:
-            f.write(data)
+            for piece in encoded(np.concatenate(docs), np.array(lengths, dtype=np.int64), np.frombuffer(ids, dtype="<u4")):
+                f.write(piece)
         store.move(draft, name)  # whole files only: a lost or repeated attempt leaves none or the same one
-        yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int64()), "tokens": pa.array([int(lengths.sum())], pa.int64()), "docs": pa.array([len(docs)], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int64()), "tokens": pa.array([len(ids) // 4], pa.int64()), "docs": pa.array([len(lengths)], pa.int64())})
 
     return run
 
@@ -277,13 +299,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
     """Encode every whole text, append `end_id`, and write the ids to `out` in ascending doc_id order, a file a range.
 
     Returns part, tokens, docs, and `before`: the tokens of all files before. A null text counts as empty; rows with a
-    null doc_id have no place in the order and are left out; repeated doc_ids keep all their rows, ordered by text.
+    null doc_id have no place in the order and are left out; repeated doc_ids keep all their rows, ordered by text, and
+    are dealt out by their texts' beginnings as well, so many rows of one doc_id make many files. A very long text is
+    encoded whole within its task; other columns are not read; an empty table writes no file and gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = ordered.mapInArrow(_write(tokenizer_path, out, end_id), "part long, tokens long, docs long")
+    ordered = rows.repartitionByRange(n, "doc_id", F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
+    made = ordered.mapInArrow(tidy(_write(tokenizer_path, out, end_id)), "part long, tokens long, docs long")
     sizes = sorted((r.part, r.tokens, r.docs) for r in made.collect())  # a row a file, no tokens
     before, table = 0, []
     for part, tokens, n_docs in sizes:
@@ -295,7 +319,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
 
 def read_tokens(files: DataFrame, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian uint32), read back from the files."""
-    return files.select("part", "before").mapInArrow(_read(out), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "before").mapInArrow(tidy(_read(out)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_binary(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out: str = "") -> DataFrame:
