@@ -16,22 +16,34 @@ FOLDS = 5
 STEPS = 10_000
 
 
-def repeated_words(w: Column, span: int = 3) -> Column:
-    """Words that stand in `span`-word windows found twice or more in the array `w`, the first finding included.
+#: Bits of a window's place; windows beyond so many are sorted with their whole hashes.
+PLACE = 24
 
-    Windows' hashes are sorted with their places; those equal to a neighbour are repeated, and their places, sorted
-    again, cover up to `span` words each: linear but for two sorts, however long or repetitive the text is.
-    """
-    shifted = F.arrays_zip(*[F.slice(w, i + 1, F.greatest(F.size(w) - span + 1, F.lit(0))).alias(f"w{i}") for i in range(span)])
-    hashes = F.transform(shifted, lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(span)]))
 
-    def covered(h: Column) -> Column:
-        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        neighbour = lambda s: F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
-        at = F.sort_array(F.transform(let(placed, neighbour), lambda x: x["i"]))
-        return let(at, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(span), F.coalesce(F.get(p, i + 1) - x, F.lit(span)))), F.lit(0).cast("long"), lambda a, x: a + x))
+def with_repeated_words(rows: DataFrame, w: str, name: str, span: int = 3) -> DataFrame:
+    """`rows` with `name`: words that stand in `span`-word windows found twice or more in the array `w`, the first
+    finding included.
 
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+    Every word is hashed once; a window is the hash of its words' hashes. The upper bits of the windows' hashes, with
+    their places below them, are sorted as plain numbers: a repeated window has a neighbour of equal upper bits. Where
+    such neighbours' whole hashes differ (or places do not fit), whole hashes are sorted instead. The repeated places,
+    sorted again, cover up to `span` words each: linear but for two sorts, however long or repetitive a text is.
+    """
+    low = (1 << PLACE) - 1
+    place = lambda x: x.bitwiseAND(low).cast("int")
+    alike = lambda x, y: F.shiftrightunsigned(x.bitwiseXOR(y), PLACE) == 0
+    neighbour = lambda s: F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
+    whole = let(F.array_sort(F.transform("_win", lambda x, i: F.struct(x.alias("h"), i.alias("i")))), neighbour)
+    rows = rows.withColumn("_raw", F.transform(w, lambda x: F.xxhash64(x)))
+    rows = rows.withColumn("_win", F.transform(F.slice("_raw", span, F.greatest(F.size("_raw"), F.lit(1))), lambda x, i: F.xxhash64(*[F.get("_raw", i + k) for k in range(span - 1)], x)))
+    rows = rows.withColumn("_sort", F.sort_array(F.transform("_win", lambda x, i: x.bitwiseAND(~low).bitwiseOR(i.cast("long")))))
+    rows = rows.withColumn("_same", F.transform("_sort", lambda x, i: F.when(alike(x, F.get("_sort", i + 1)), F.get("_win", place(x)) == F.get("_win", place(F.get("_sort", i + 1))))))
+    unsure = F.coalesce(F.array_contains("_same", False), F.lit(False)) | (F.size("_win") > low)
+    found = F.filter("_sort", lambda x, i: F.get("_same", i).isNotNull() | F.get("_same", i - 1).isNotNull())
+    rows = rows.withColumn("_at", F.sort_array(F.when(unsure, F.transform(whole, lambda x: x["i"])).otherwise(F.transform(found, place))))
+    covered = F.transform("_at", lambda x, i: F.least(F.lit(span), F.coalesce(F.get("_at", i + 1) - x, F.lit(span))))
+    rows = rows.withColumn(name, F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x))
+    return rows.drop("_raw", "_win", "_sort", "_same", "_at")
 
 
 def base_rules(docs: DataFrame, min_words: int = 50, max_repeated: int = 50) -> DataFrame:
@@ -46,18 +58,38 @@ def base_rules(docs: DataFrame, min_words: int = 50, max_repeated: int = 50) ->
         F.length(F.translate("text", WS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("ws")).alias("n_repeat_words"),
     )
+    rows = with_repeated_words(rows, "ws", "n_repeat_words")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
 
+def gram_hashes(ws: Column) -> Column:
+    """Hashes of an array's words, lower-cased: what the grams are made of."""
+    return F.transform(ws, lambda w: F.xxhash64(F.lower(w)))
+
+
+def _one(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
+
+
+def _two(a: Column, b: Column, buckets: int) -> Column:
+    return _one(a.bitwiseXOR(F.shiftrightunsigned(b, 13)), buckets)
+
+
 def gram_buckets(ws: Column, buckets: int) -> Column:
-    """Buckets of the one- and two-word grams of an array of words, lower-cased."""
-    one = F.transform(ws, lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(buckets)).cast("int"))
-    pair = F.arrays_zip(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))).alias("a"), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))).alias("b"))
-    two = F.transform(pair, lambda z: F.pmod(F.xxhash64(F.lower(z["a"]), F.lower(z["b"])), F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
+    """Buckets of the one- and two-word grams of an array of words, lower-cased. A word is hashed once."""
+    one = lambda h: F.transform(h, lambda x: _one(x, buckets))
+    two = lambda h: F.transform(F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda x, i: _two(F.get(h, i), x, buckets))
+    return let(gram_hashes(ws), lambda h: F.concat(one(h), two(h)))
+
+
+def gram_sum(h: Column, values: Column, start: Column, buckets: int) -> Column:
+    """Sum of `values` (an array, from `start` on) over the buckets of all grams of the word hashes `h`; 0 without words."""
+    at = lambda b: F.get(values, start + b)
+    both = lambda x, y: at(_one(x, buckets)) + F.when(y.isNull(), 0).otherwise(at(_two(x, y, buckets)))
+    ahead = F.slice(h, 2, F.greatest(F.size(h), F.lit(1)))
+    return F.aggregate(F.zip_with(h, ahead, both), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -126,15 +158,13 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, thre
     literal = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")  # noqa: E731 (folded to one literal)
     rows = base_rules(docs, min_words, max_repeated)
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(1)) * F.lit(float(scale))
-    zero = F.lit(0).cast("long")
-    whole = lambda g: F.coalesce(F.aggregate(g, zero, lambda a, b: a + F.get(literal(ratios[0]), b)), zero)
+    whole = lambda h: gram_sum(h, literal(ratios[0]), F.lit(0), buckets)
     if threshold is not None:
-        scored = rows.withColumn("score", whole(gram_buckets(F.col("ws"), buckets)) / n).drop("ws")
+        scored = rows.withColumn("score", let(gram_hashes(F.col("ws")), whole) / n).drop("ws")
     else:
         folds = literal([x for fold in ratios[1:] for x in fold])
         start = F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) * buckets
-        apart = lambda g: F.coalesce(F.aggregate(g, zero, lambda a, b: a + F.get(folds, start + b)), zero)
-        sums = let(gram_buckets(F.col("ws"), buckets), lambda g: F.struct(whole(g).alias("whole"), apart(g).alias("apart")))
+        sums = let(gram_hashes(F.col("ws")), lambda h: F.struct(whole(h).alias("whole"), gram_sum(h, folds, start, buckets).alias("apart")))
         scored = rows.withColumn("_sums", sums).withColumn("score", F.col("_sums.whole") / n).withColumn("held_out", F.col("_sums.apart") / n)
         scored = cut(scored.drop("ws", "_sums"))
         threshold = held_out_floor(scored, trusted, low, spare)
