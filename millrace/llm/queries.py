@@ -9,7 +9,7 @@ from .common import n_words
 from .decontaminate import leaks
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
-from .mixing import mix_sources, mixture
+from .mixing import mix_sources
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
@@ -59,10 +59,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    placed = mix_sources(docs)
-    order = mixture(placed).where("round = 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("end").alias("e"), "mix_end")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("end") == F.col("e")) & (F.col("size") > 0)
-    return placed.join(order, same, "left").select("doc_id", "size", "source_size", "target", "taken", "finish", "mix_end")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "finish", "mix_end")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +86,27 @@ QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_quality,
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL = {
+    "op6_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS k FROM d),
+h AS (SELECT *, substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size || '|' || k), 1, 16) AS h FROM r),
+e AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS LAST, size, k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM h),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][place % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS cap, sum(source_size) OVER () * CAST(1.5 AS DOUBLE) AS budget FROM s),
+l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+o AS (SELECT min_by(level, (cap / weight, place)) AS level FROM l WHERE level * weight < cap),
+t AS (SELECT source, source_size, CAST(floor(budget) AS BIGINT) AS budget, CASE WHEN l.level * weight >= cap THEN cap ELSE o.level * weight END AS target FROM l LEFT JOIN o ON true),
+q AS (SELECT doc_id, e.source, size, k, source_size, target, budget, round, upto + round * source_size AS stop, CAST(floor(target) AS BIGINT) AS goal
+      FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) v(round) WHERE round = 0 OR size > 0),
+p AS (SELECT *, 0 AS tail, goal - stop + size AS words, CAST(1 AS DOUBLE) AS finish FROM q WHERE stop - size < goal AND goal < stop UNION ALL
+      SELECT *, 1, stop - goal, stop / target FROM q WHERE stop - size < goal AND goal < stop UNION ALL
+      SELECT *, 0, size, CASE WHEN target > 0 THEN stop / target ELSE 32768 END FROM q WHERE NOT (stop - size < goal AND goal < stop)),
+m AS (SELECT *, CAST(sum(words) OVER (ORDER BY finish, source NULLS LAST, doc_id NULLS LAST, size, k, round, tail ROWS UNBOUNDED PRECEDING) AS BIGINT) AS mix_end FROM p),
+x AS (SELECT *, greatest(0, words - greatest(0, mix_end - budget)) AS taken FROM m)
+SELECT doc_id, size, source_size, target, CAST(sum(taken) AS BIGINT) AS taken, min(finish) AS finish,
+       nullif(min_by(CASE WHEN taken > 0 THEN mix_end ELSE -1 END, (finish, round, tail)), -1) AS mix_end
+FROM x GROUP BY doc_id, source, size, k, source_size, target""",
     "op9_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
