@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, mix, steps, window_hashes, word_hashes
+from .common import cut, lowered, mix, steps, tidy, window_hashes, word_hashes
 
 #: 1: the word counts, 0: it may be anything. In every window of 10 to 24 words, at least one place of one of them is
 #: free of any floor(n / 4) substituted words; so are windows of 8 and 9 words with none and one.
@@ -25,11 +25,12 @@ SHORT = ("1111", "11101", "11011", "10111", "100111")
 LEAST_ITEM, LONG = 5, 10
 #: Equal words that a document shorter than the window needs at least.
 LEAST_EQUAL = 8
-#: Items that one pass takes: the broadcast tables are bounded by this, whatever the benchmark holds.
-BLOCK_ITEMS = 20_000
+#: Characters of items that one pass takes: what is broadcast is bounded by this, whatever the benchmark holds.
+BLOCK_CHARS = 8_000_000
+#: Pairs of equal seeds that are held at once.
+PAIRS = 1 << 20
 BITS = 22
 
-
 _KINDS = {"string": pa.string(), "int32": pa.int32()}
 
 
@@ -53,10 +54,10 @@ def _index(items: list[tuple], masks: tuple[str, ...]) -> dict:
     return {"ids": [i for i, _ in items], "words": hashes, "at": at, "seeds": [s for s in seeds if len(s[1])], "used": used}
 
 
-def _hits(words: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(place in `words`, place in the items' words) of equal seeds."""
+def _hits(words: np.ndarray, index: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in `words`, place in the items' words) of equal seeds, about PAIRS at a time: a repetitive text meets a
+    repetitive item at as many pairs as the product of their lengths."""
     known = index["used"][(words >> np.uint64(64 - BITS)).astype(np.int64)]
-    places, items = [], []
     for offs, seeds, at in index["seeds"]:
         n = len(words) - offs[-1]
         if n <= 0:
@@ -71,9 +72,12 @@ def _hits(words: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray]:
         h = mix(h)
         a, b = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
         p, a, n = p[b > a], a[b > a], (b - a)[b > a]
-        places.append(np.repeat(p, n))
-        items.append(at[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int64))
-    return (np.concatenate(places), np.concatenate(items)) if places else (np.zeros(0, np.int64),) * 2
+        ends = np.cumsum(n)
+        cuts = np.unique(np.searchsorted(ends, np.arange(PAIRS, ends[-1] + PAIRS, PAIRS), "right")) if len(n) else []
+        for x, y in zip([0, *cuts], [*cuts, len(n)]):
+            if y > x:
+                m = n[x:y]
+                yield np.repeat(p[x:y], m), at[np.repeat(a[x:y] - np.cumsum(m) + m, m) + np.arange(m.sum())]
 
 
 def _laid(words: np.ndarray, at: np.ndarray, index: dict, doc: np.ndarray, item: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -99,6 +103,16 @@ def _laid(words: np.ndarray, at: np.ndarray, index: dict, doc: np.ndarray, item:
     return np.where(short, np.maximum(best, total / np.maximum(length, 1)), best), total, b - a
 
 
+def _once(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """The distinct rows of (document, item, start)."""
+    doc, item, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((start, item, doc))
+    doc, item, start = doc[order], item[order], start[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
+    return [(doc[new], item[new], start[new])]
+
+
 def _find(shared, window: int, share: float, like: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -107,14 +121,14 @@ def _find(shared, window: int, share: float, like: str):
             found: dict[tuple[int, int], tuple] = {}
             for first, last in steps([len(t) for t in texts]):
                 words, at = word_hashes(texts[first:last])
-                place, item_place = _hits(words, index)
-                if not len(place):
+                laid = []  # (document, item, start) of each alignment once; there are fewer than words of both
+                for place, item_place in _hits(words, index):
+                    doc, item = np.searchsorted(at, place, "right") - 1, np.searchsorted(index["at"], item_place, "right") - 1
+                    start = place - (item_place - index["at"][item])
+                    laid = _once([*laid, (doc, item, start)])
+                if not laid:
                     continue
-                doc, item = np.searchsorted(at, place, "right") - 1, np.searchsorted(index["at"], item_place, "right") - 1
-                start = place - (item_place - index["at"][item])
-                low, width = int(start.min()), int(start.max() - start.min()) + 1
-                key = np.unique((doc * len(index["ids"]) + item) * width + (start - low))  # each alignment once
-                start, item, doc = key % width + low, key // width % len(index["ids"]), key // width // len(index["ids"])
+                doc, item, start = laid[0]
                 for x, y in steps(np.diff(index["at"])[item].tolist()):
                     got = _laid(words, at, index, doc[x:y], item[x:y], start[x:y], window)
                     for k in np.flatnonzero(got[0] >= share).tolist():
@@ -144,22 +158,38 @@ def _clean(shared, window: int, share: float, kind: str):
     return run
 
 
-def _blocks(benchmark: DataFrame, masks: tuple[str, ...]) -> tuple[list, str]:
-    """Broadcast tables of the benchmark's blocks, and the type of its item_id."""
+def _over_blocks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], step) -> Iterator[DataFrame]:
+    """`step`(what a block leaves to be read, its broadcast tables) for each block of the benchmark.
+
+    Blocks are dealt out by hash and hold about BLOCK_CHARS characters; the driver and the workers hold one of them at a
+    time, since with several the result of each is written before the next is collected.
+    """
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    n = max(1, -(-items.count() // BLOCK_ITEMS))
-    blocks = (sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()) for k in range(n))
-    return [benchmark.sparkSession.sparkContext.broadcast(_index(b, masks)) for b in blocks], dict(benchmark.dtypes)["item_id"]
+    n = max(1, -(-int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
+    for k in range(n):
+        rows = sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
+        shared = docs.sparkSession.sparkContext.broadcast(_index(rows, masks))
+        docs, found = step(docs, shared)
+        if n > 1:
+            found = cut(found)
+            docs = found if docs is None else docs
+            shared.unpersist()
+        yield found
+
+
+def _kind(benchmark: DataFrame) -> str:
+    return {"string": "string", "int": "int32"}.get(dict(benchmark.dtypes)["item_id"], "int64")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, share: float = 0.75, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """The rows of `docs` that overlap no benchmark item, with all their columns; decided where they are read."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    blocks, kind = _blocks(benchmark, masks)
-    kind = {"string": "string", "int": "int32"}.get(kind, "int64")
-    for shared in blocks:
-        docs = docs.mapInArrow(_clean(shared, window, share, kind), schema)
-    return docs
+    """The rows of `docs` that overlap no benchmark item (see leaks), with all their columns, whatever their names;
+    decided where they are read. Rows with a null or empty text, or a null doc_id, are judged by their text like others,
+    so the former stay; repeated rows fare alike; an empty table gives no rows, an empty benchmark keeps all.
+    """
+    out = docs
+    for out in _over_blocks(docs, benchmark, masks, lambda rest, shared: (None, rest.mapInArrow(tidy(_clean(shared, window, share, _kind(benchmark))), docs.schema))):
+        pass
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, share: float = 0.75, masks: tuple[str, ...] = MASKS) -> DataFrame:
@@ -168,16 +198,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, share: float
     They overlap if, under the alignment of some shared seed, `share` of a window of min(`window`, the item's words)
     words are equal; places of the window outside the document are unequal. A document of fewer words than the window is
     a window itself, of which LEAST_EQUAL words at least have to be equal. MASKS and SHORT leave no overlap of a share of
-    0.75 in 24 words out. Words are lower-cased runs of letters, digits and underscores. Items of fewer than five words, null
-    texts and empty texts overlap nothing; of repeated doc_ids or item_ids the best overlap is returned. The benchmark
-    goes by in blocks of BLOCK_ITEMS items, each broadcast and held against all documents.
+    0.75 in 24 words out. Words are lower-cased runs of letters, digits and underscores. Items of fewer than five words,
+    null texts and empty texts overlap nothing; of repeated doc_ids or item_ids the best overlap is returned, rows of a
+    null doc_id as one. Very long texts are taken in one step each, repetitive ones by bounded numbers of equal seeds;
+    other columns are not read; an empty table or benchmark gives no rows. The benchmark goes by in blocks of
+    BLOCK_CHARS characters, each broadcast and held against all documents.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    blocks, kind = _blocks(benchmark, masks)
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {kind}, share double, n_equal long, n_compared long, word_at long"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, share double, n_equal long, n_compared long, word_at long"
     found = None
-    for shared in blocks:
-        part = rows.mapInArrow(_find(shared, window, share, {"string": "string", "int": "int32"}.get(kind, "int64")), schema)
+    for part in _over_blocks(rows, benchmark, masks, lambda all_, shared: (all_, all_.mapInArrow(tidy(_find(shared, window, share, _kind(benchmark))), schema))):
         found = part if found is None else found.union(part)
     best = F.max(F.struct("share", "n_equal", "n_compared", (-F.col("word_at")).alias("w"))).alias("m")
     out = found.groupBy("doc_id", "item_id").agg(best)
