@@ -19,31 +19,35 @@ from millrace.llm.token_binary import token_binary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. A null or empty text is judged by the model's bias; repeated rows fare alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     scored = quality_scores(docs, labels.select("doc_id", F.col("quality").alias("label")), threshold=0.3, keep=True)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return scored.where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each class stays, once; rows without a doc_id stay, copies of them once."""
+    """The smallest doc_id of each class stays, once; rows without a doc_id stay, copies of them once.
+
+    Documents without words (null, empty) are classes of their own and stay.
+    """
     spare = jaccard_join(docs, shingle=5, threshold=0.8).where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(spare, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("copy"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(spare, "doc_id", "left_anti").dropDuplicates(["doc_id", "copy"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; those without words stay."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document once for each time that the mix takes it, the last of a source cut to its budget."""
+    """A document once for each time that the mix takes it, the last of a source cut to its budget; those
+    without words are never taken."""
     return mixed_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as token files, read back."""
+    """The mix as token files, read back; rows without a doc_id have no place in them."""
     return token_binary(docs, tokenizer_path(), end_id=0)
 
 

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_ids
+from .common import bounded_ids, cut, tidy
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 
@@ -67,8 +68,8 @@ def frequent_grams(texts: list[str], min_docs: int, most: int) -> tuple[dict[str
     return {g: i for i, (_, g) in enumerate(top)}, [np.sort(x[x >= 0]) for x in (number[h] for h in held)]
 
 
-def train_nbsvm(texts: list[str], labels: list[int], min_docs: int = 3, max_grams: int = 200_000, c: float = 1.0, passes: int = 30, seed: int = 3) -> tuple[dict[str, float], float, float, float]:
-    """(weight by gram, bias, and slope and offset of the logistic that turns a margin into a probability).
+def train_nbsvm(texts: list[str], labels: list[int], min_docs: int = 3, max_grams: int = 200_000, c: float = 1.0, passes: int = 30, seed: int = 3) -> tuple[dict[str, complex], float, float, float]:
+    """(by gram, its weight times its ratio and, as imaginary part, the ratio's square; bias, and slope and offset of the logistic that turns a margin into a probability).
 
     Log-count ratios r = log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|) over indicator counts scale the indicators; the
     scaled rows, of length 1, go through dual coordinate descent for the L2-regularised hinge loss, classes weighed so
@@ -100,11 +101,12 @@ def train_nbsvm(texts: list[str], labels: list[int], min_docs: int = 3, max_gram
                     alpha[k] = new
             if moved < 1e-3:
                 break
-        return w * r, b
+        return w * r + 1j * r * r, b
 
     def margin(w: np.ndarray, b: float, i: int) -> float:
-        """Of the mean over a text's known grams, so that a long text is not a stronger case than a short one."""
-        return (w[rows[i]].sum() + b) / np.sqrt(len(rows[i]) + 1)
+        """Of the text's scaled row at length 1, as it was trained."""
+        s = w[rows[i]].sum()
+        return (s.real + b) / np.sqrt(s.imag + 1)
 
     everything = np.arange(len(y))
     odd = everything % 4 == 0
@@ -122,49 +124,61 @@ def train_nbsvm(texts: list[str], labels: list[int], min_docs: int = 3, max_gram
             if abs(d).max() < 1e-8:
                 break
     w, b = fit(everything)
-    return {g: float(w[i]) for g, i in vocabulary.items() if w[i]}, float(b), float(a), float(o)
+    return {g: complex(w[i]) for g, i in vocabulary.items()}, float(b), float(a), float(o)
 
 
 def _score(model, prior: float):
+    """Of the field `text` of the struct column `row`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, a, o = model.value if model else ({}, 0.0, 0.0, 0.0)
         known = weights.keys()
         for batch in batches:
             scores = []
-            for t in batch.column("text").to_pylist():
+            for t in batch.column("row").field("text").cast(pa.string()).to_pylist():
                 if model is None:
                     scores.append(prior)
                     continue
-                g = grams(t or "") & known
-                m = (sum(map(weights.__getitem__, g)) + bias) / np.sqrt(len(g) + 1)
+                s = sum(map(weights.__getitem__, grams(t or "") & known))
+                m = (s.real + bias) / np.sqrt(s.imag + 1)
                 scores.append(float(1 / (1 + np.exp(-np.clip(a * m + o, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], names=["row", "score"])
 
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3_000, max_train_chars: int = 200_000, threshold: float = 0.3, keep: bool = False) -> DataFrame:
-    """doc_id (or with `keep` all columns of `docs`), score (probability of label 1) and predicted of every document.
+def training_texts(docs: DataFrame, known: DataFrame, max_train: int, max_chars: int, total_chars: int) -> list[tuple]:
+    """(doc_id, text, label) for the driver, in order of doc_id: texts of `total_chars` together at most, first by hash."""
+    picked = bounded_ids(known, max_train).union(bounded_ids(known.where("label = 0"), max_train)).distinct()
+    sample = known.join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    chosen = rows.join(F.broadcast(sample), "doc_id").where(F.length("text") <= max_chars)
+    chosen = cut(chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")))
+    sizes = chosen.select("doc_id", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # a row a sampled doc_id
+    ends = np.cumsum([r.n for r in sizes])
+    fits = [r.doc_id for r in sizes[: int(np.searchsorted(ends, total_chars, "right"))]]
+    held = chosen if len(fits) == len(sizes) else chosen.where(F.col("doc_id").isin(fits))
+    return sorted((r.doc_id, r.text, r.label) for r in held.collect())
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3_000, max_train_chars: int = 200_000, total_train_chars: int = 24_000_000, threshold: float = 0.3, keep: bool = False) -> DataFrame:
+    """doc_id (or with `keep` all columns of `docs` as one struct column `row`), score (probability of label 1) and
+    predicted of every document.
 
     `labels` has doc_id and label. The model is fitted on the driver from a bounded sample: the first `max_train`
-    labelled doc_ids by hash and as many of label 0 alone (the rarer class), those of up to `max_train_chars`; its weights, at most `max_grams`, are
-    broadcast. A doc_id with several labels counts as 1 if any is. A null text counts as empty and scores by the bias
-    alone; an empty table gives no rows; repeated rows fare alike. Labels of one class give every row that class's mean.
+    labelled doc_ids by hash and as many of label 0 alone (the rarer class), those of up to `max_train_chars` characters
+    and of `total_train_chars` together; its weights, at most `max_grams`, are broadcast. A doc_id with several labels
+    counts as 1 if any is. A null text counts as empty and scores by the bias alone; a very long text is scored whole,
+    by its set of grams; an empty table gives no rows; repeated rows fare alike. Labels of one class give every row that
+    class's mean. With `keep` the columns of `docs` may have any names, score and predicted among them.
     """
-    spark = docs.sparkSession
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
-    picked = bounded_ids(known, max_train).union(bounded_ids(known.where("label = 0"), max_train)).distinct()
-    sample = known.join(F.broadcast(picked), "doc_id")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = rows.join(F.broadcast(sample), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= max_train_chars)
-    train = sorted((r.doc_id, r.text or "", r.label) for r in chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).collect())
+    train = training_texts(docs, known, max_train, max_train_chars, total_train_chars)
     kinds = {r[2] for r in train}
     model, prior = None, float(min(kinds, default=0))
     if kinds == {0, 1}:
-        model = spark.sparkContext.broadcast(train_nbsvm([r[1] for r in train], [r[2] for r in train]))
-    given = docs.withColumn("text", F.col("text").cast("string")) if keep else rows
-    given = given.select(*[c for c in given.columns if c not in ("score", "predicted")])
-    schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes)
-    out = given.mapInArrow(_score(model, prior), f"{schema}, score double")
-    out = out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    return out if keep else out.drop("text")
+        model = docs.sparkSession.sparkContext.broadcast(train_nbsvm([r[1] for r in train], [r[2] for r in train]))
+    columns = [F.col(f"`{c}`") for c in docs.columns] if keep else ["doc_id", "text"]
+    given = docs.select(F.struct(*columns).alias("row"))
+    out = given.mapInArrow(tidy(_score(model, prior)), StructType([*given.schema.fields, StructField("score", DoubleType())]))
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return out.select(*(["row"] if keep else ["row.doc_id"]), "score", predicted)

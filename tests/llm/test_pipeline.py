@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_text_operators import jaccard_brute, tokenizer_path, words
 
 import __spark_entry__
@@ -72,6 +73,21 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, cp.run(spark, str(tmp_path)).collect())) == sorted(want)
 
 
+def test_stages_take_empty_tables_and_columns_of_any_name(spark, tmp_path):
+    texts, junk, leaked = tables(spark, str(tmp_path))
+    names = ["score", "predicted", "row", "copy", "size", "class_id", "label", "rep", "_text", "h"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id < 60")
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    for name, stage in cp.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names), name
+    assert cp.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

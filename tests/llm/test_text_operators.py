@@ -11,12 +11,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import decontaminate
 from millrace.llm import jaccard_join as jj
+from millrace.llm import mixing
 from millrace.llm import suffix_dedup as sd
 from millrace.llm.common import n_words
 from millrace.llm.decontaminate import MASKS, SHORT, leaks, offsets, without_leaks
 from millrace.llm.line_dedup import line_dedup
-from millrace.llm.mixing import mix_sources, mixed_documents, mixture
+from millrace.llm.mixing import mix_sources, mixed_documents, packets, sent_in_order
 from millrace.llm.quality_rules import base_rules, bucket_ratios, gram_buckets, log_ratios, quality_rules
 from millrace.llm.suffix_array import permuted_prefixes, suffix_array
 from millrace.llm.token_binary import DacFile, encode, encoder, token_binary
@@ -264,38 +266,95 @@ def test_quality_ratios_count_every_trusted_document(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def mix_brute(rows, weights=(3, 1, 2), share=1.5, most=2, seed=17):
+    """rows (doc_id, source, size) -> Counter of (doc_id, source, size, source_size, target, taken), item by item."""
+    total = defaultdict(int)
+    for _, s, z in rows:
+        total[s] += z
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), share * sum(total.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] >= most * total[s]}
+        if not over:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        target |= {s: float(most * total[s]) for s in over}
+        left -= sum(target[s] for s in over)
+        open_ -= over
+    met, items = Counter(), defaultdict(list)
+    for d, s, z in rows:
+        k = met[d, s, z]
+        met[d, s, z] += 1
+        h = hashlib.md5(f"{seed}|{'' if d is None else d}|{z}|{k}".encode()).hexdigest()[:16]
+        items[s].append((h, (d is None, d), z, k))
+    queue, taken = [], Counter()
+    for s in names:
+        end, goal = 0, int(target[s])
+        for r in range(most):
+            for h, d, z, k in sorted(items[s]):
+                start, end = end, end + z
+                for tail, words, finish in [(0, goal - start, 1.0), (1, end - goal, end / target[s])] if start < goal < end else [(0, z, end / target[s] if target[s] else 0)]:
+                    queue.append((finish, s is None, s or "", d, z, k, r, tail, words))
+    room = int(share * sum(total.values()))
+    for f, n, s, d, z, k, r, tail, words in sorted(queue):
+        got = min(words, room)
+        room -= got
+        taken[None if n else s, d[1], z, k] += got
+    return Counter((d, s, z, total[s], round(target[s], 6), taken[s, d, z, k]) for (d, s, z), n in met.items() for k in range(n))
+
+
+def mix_rows(rng, n, sources="bacd"):
+    rows = [(i, "w " * rng.choice([0, 1, 30, 400]), None if i % 11 == 0 else rng.choice(sources)) for i in range(n)]
+    return rows + [(5, "w w", "a")] * 30 + [(None, "w", None), (None, None, "a"), (None, "w w w", "a"), (None, "w w w", "a")]
+
+
+@pytest.mark.parametrize("sources,copies,share", [("bacd", 10_000, 1.5), ("a", 7, 1.5), ("abcdefgh", 7, 0.4), ("ab", 10_000, 5.0)])
+def test_mix_equals_item_by_item(spark, monkeypatch, sources, copies, share):
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    rows = mix_rows(random.Random(len(sources)), 300, sources)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", n_words(F.col("text"))).withColumn("end", F.lit("clash")).withColumn("k", F.lit("clash"))
+    got = Counter((r.doc_id, r.source, r.size, r.source_size, round(r.target, 6), r.taken) for r in mix_sources(df, share=share).collect())
+    assert got == mix_brute([(d, s, len((t or "").split())) for d, t, s in rows], share=share)
+
+
 def test_mix_meets_its_targets(spark):
-    rng = random.Random(8)
-    rows = [(i, "w " * rng.choice([0, 1, 30, 400]), None if i % 11 == 0 else rng.choice(["b", "a", "d", "c"])) for i in range(800)] + [(5, "w w", "a")] * 3 + [(None, "w", None)]
+    rows = mix_rows(random.Random(8), 800)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", n_words(F.col("text"))).withColumn("end", F.lit("clash"))
     placed = mix_sources(df).collect()
     assert len(placed) == len(rows)
     by = defaultdict(list)
     for r in placed:
         by[r.source].append(r)
-    total, weights = sum(r.size for r in placed), {s: w for s, w in zip(["a", "b", "c", "d", None], [3, 1, 2, 3, 1])}
-    targets = {s: r[0].target for s, r in by.items()}
-    assert abs(sum(targets.values()) - min(1.5 * total, 2 * total)) < 1e-6
-    open_ = [s for s, r in by.items() if targets[s] < 2 * r[0].source_size - 1e-9]
-    assert len({round(targets[s] / weights[s], 6) for s in open_}) <= 1
-    for s, r in by.items():
-        assert r[0].source_size == sum(x.size for x in r) and targets[s] <= 2 * r[0].source_size + 1e-9
-        assert abs(sum(x.taken for x in r) - targets[s]) <= 1 and all(0 <= x.taken <= 2 * x.size for x in r)
+    total = sum(r.size for r in placed)
+    assert abs(sum(r[0].target for r in by.values()) - 1.5 * total) < 1e-6
+    for r in by.values():
+        assert abs(sum(x.taken for x in r) - r[0].target) <= len(by) and all(0 <= x.taken <= 2 * x.size for x in r)
+    assert sum(r.taken for r in placed) == int(1.5 * total)
     assert sorted(map(repr, placed)) == sorted(map(repr, mix_sources(df.repartition(7)).collect()))
-    order = mixture(mix_sources(df)).orderBy("mix_end").collect()
+    order = sent_in_order(packets(df)).where("words > 0").orderBy("mix_end").collect()
     run = 0
     for r in order:
         run += r.words
-        assert r.mix_end == run
+        assert r.mix_end == run and r.taken == max(0, r.words - max(0, run - int(1.5 * total)))
     assert [r.finish for r in order] == sorted(r.finish for r in order)
-    half = mixture(mix_sources(df), total_budget=1000).agg(F.sum("words"), F.max("mix_end")).first()
-    assert tuple(half) == (1000, 1000)
+    assert mix_sources(df, total_budget=1000).agg(F.sum("taken")).first()[0] == 1000
     docs = mixed_documents(df.drop("size", "end"))
     assert abs(docs.agg(F.sum(n_words(F.col("text")))).first()[0] - sum(r.taken for r in placed)) <= 6
     none = empty(spark)
     assert mix_sources(none).count() == 0 and mixed_documents(none).count() == 0
 
 
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    names = ["_id", "_source", "_size", "_taken", "_cut", "row", "d", "s", "z", "k", "taken", "cut", "size"]
+    df = spark.createDataFrame([(i, f"w{i} " * 9, "ab"[i % 2], *[f"{c}{i}" for c in names]) for i in range(40)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    out = mixed_documents(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names) and all(set(r.text.split()) == {f"w{r.doc_id}"} for r in got)
+
+
 def test_leaks_are_caught_with_substitutions_and_clean_texts_left(spark):
     rng = random.Random(1)
     items = {k: words(rng, n, 500) for k, n in enumerate([15, 30, 60, 7, 3])}
@@ -383,6 +442,29 @@ def test_leaks_at_the_edges_of_documents(spark):
     assert {r.doc_id for r in without_leaks(df, bench).collect()} == {None, *texts} - {d for d, _ in want}
 
 
+def test_leaks_in_repetitive_texts_stay_in_bounds(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 50_000)
+    items = {0: ["the"] * 400, 1: ["a", "b"] * 100, 2: words(random.Random(3), 30)}
+    texts = {0: ["the"] * 6000, 1: ["b", "a"] * 900 + items[2], 2: ["the"] * 20 + ["x"] * 50, 3: ["y"] * 3000, 4: items[2][:23] + ["the"] * 900}
+    bench = spark.createDataFrame([(k, " ".join(p)) for k, p in items.items()], "item_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks(frame(spark, {d: " ".join(w) for d, w in texts.items()}), bench).collect()}
+    assert got == leak_brute(texts, items) == {(0, 0), (1, 1), (1, 2), (2, 0), (4, 0), (4, 2)}
+    most = max(len(p) for w in texts.values() for index in [decontaminate._index([(k, " ".join(p)) for k, p in items.items()], MASKS)] for p, _ in decontaminate._hits(decontaminate.word_hashes([" ".join(w).encode()])[0], index))
+    assert most <= 50_000 + 400
+
+
+def test_leaks_take_a_benchmark_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    items = {k: words(rng, 30) for k in range(12)}
+    texts = {d: words(rng, 40) + (items[d] if d < 12 else []) for d in range(20)}
+    df = frame(spark, {d: " ".join(w) for d, w in texts.items()})
+    bench = spark.createDataFrame([(k, " ".join(p)) for k, p in items.items()], "item_id int, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    assert {(r.doc_id, r.item_id) for r in leaks(df, bench).collect()} == leak_brute(texts, items)
+    kept = without_leaks(df, bench)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {None, *range(12, 20)}
+
+
 def tokenizer_path():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
