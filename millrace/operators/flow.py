@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.position import position
+from ..functions.position import fresh, position
 
 
 def rules_of(*kinds: str) -> dict[str, int]:
@@ -58,15 +58,16 @@ class Reduce(Operator):
         self.rules, self.folds, self.kind, self.seq, self.routee = checked(rules), folds, kind, seq, list(routee)
         self.queue, self.full = [*self.routee], sum(rules.values())
 
-    def sized(self, df: DataFrame) -> DataFrame:
-        """Rows of configured types with `_n`, the rows of their type in a group."""
+    def sized(self, df: DataFrame, name: str) -> DataFrame:
+        """Rows of configured types with `name`, the rows of their type in a group."""
         size = F.create_map(*[F.lit(x) for k, n in self.rules.items() for x in (k, n)])
-        return df.where(F.col(self.kind).isin(list(self.rules))).withColumn("_n", size[F.col(self.kind)])
+        return df.where(F.col(self.kind).isin(list(self.rules))).withColumn(name, size[F.col(self.kind)])
 
     def grouped(self, df: DataFrame) -> DataFrame:
         """Rows of configured types with `group` and `slot`, the place in the group within its type."""
-        rows = position(self.sized(df), self.seq, [*self.routee, self.kind], name="_at")
-        return rows.withColumn("group", F.floor(F.col("_at") / F.col("_n")).cast("long")).withColumn("slot", (F.col("_at") % F.col("_n")).cast("long")).drop("_at", "_n")
+        n, at = fresh(df, "n_"), fresh(df, "at_")
+        rows = position(self.sized(df, n), self.seq, [*self.routee, self.kind], name=at)
+        return rows.withColumn("group", F.floor(F.col(at) / F.col(n)).cast("long")).withColumn("slot", (F.col(at) % F.col(n)).cast("long")).drop(at, n)
 
     def transform(self, df: DataFrame) -> DataFrame:
         folded = self.grouped(df).groupBy(*self.queue, "group").agg(F.count("*").alias("_rows"), *[c.alias(n) for n, c in self.folds.items()])
@@ -90,8 +91,8 @@ class ReduceEach(Reduce):
         super().__init__({"": n}, folds, kind, seq, routee)
         self.queue = [*self.routee, kind]
 
-    def sized(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_n", F.lit(self.full))
+    def sized(self, df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn(name, F.lit(self.full))
 
 
 class Zip(Reduce):

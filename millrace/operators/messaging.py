@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import DELIVERED, NOT_DELIVERED
+from ..functions.position import following, fresh, position, running_totals
+from ..functions.values import BACKPRESSURE_REQUIRED, DELIVERED, NOT_DELIVERED
 
 
 def normalized_subscriptions(subscriptions: DataFrame) -> DataFrame:
@@ -14,17 +15,39 @@ def normalized_subscriptions(subscriptions: DataFrame) -> DataFrame:
     return subscriptions.groupBy("subscriber", "payload_type").agg(F.max_by("policy", rank).alias("policy"))
 
 
+#: Rows that may ride along in a plan as one array.
+FEW = 1_000
+BINS = 256
+
+
+def _few(df: DataFrame) -> list | None:
+    """The rows, if there are at most FEW."""
+    rows = df.limit(FEW + 1).collect()
+    return rows if len(rows) <= FEW else None
+
+
 def fan_out_to_subscribers(messages: DataFrame, subscribers: DataFrame, seq: str = "seq") -> DataFrame:
     """A copy of each message for each subscriber (subscriber, joined_at, left_at) that is there when it is sent.
 
-    Late subscribers have no history. The subscribers ride along as one array in each row, so no join pairs all rows
-    with all subscribers: rows that nobody sees are gone before the explode.
+    Late subscribers have no history. Few subscribers ride along as one array in each row, so rows that nobody sees are
+    gone before the explode; many meet the messages by bins of the order: a subscriber is in every bin that it spans.
     """
-    listed = [F.struct(F.lit(s.subscriber).alias("subscriber"), F.lit(s.joined_at).alias("joined_at"), F.lit(s.left_at).cast("long").alias("left_at")) for s in subscribers.collect()]
-    if not listed:
-        return messages.limit(0).withColumn("subscriber", F.lit(None).cast("string"))
-    there = F.filter(F.array(*listed), lambda s: (F.col(seq) >= s["joined_at"]) & (s["left_at"].isNull() | (F.col(seq) < s["left_at"])))
-    return messages.withColumn("_s", F.explode(there)).withColumn("subscriber", F.col("_s.subscriber")).drop("_s")
+    there = lambda at, joined, left: (at >= joined) & (left.isNull() | (at < left))
+    few = _few(subscribers.select("subscriber", "joined_at", "left_at"))
+    row = F.struct(*[F.col(f"`{c}`") for c in messages.columns if c != "subscriber"]).alias("row")
+    if few is not None:
+        listed = [F.struct(F.lit(s.subscriber).alias("subscriber"), F.lit(s.joined_at).alias("joined_at"), F.lit(s.left_at).cast("long").alias("left_at")) for s in few]
+        if not listed:
+            return messages.limit(0).withColumn("subscriber", F.lit(None).cast("string"))
+        seen = messages.select(row, F.explode(F.filter(F.array(*listed), lambda s: there(F.col(seq), s["joined_at"], s["left_at"]))).alias("s"))
+        return seen.select("row.*", "s.subscriber")
+    low, high = messages.agg(F.min(seq), F.max(seq)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // BINS))
+    bin_of = lambda c: F.least(F.greatest(F.floor((c - F.lit(low or 0)) / width), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    spans = F.sequence(bin_of(F.col("joined_at")), F.greatest(bin_of(F.col("joined_at")), bin_of(F.coalesce(F.col("left_at"), F.lit(high or 0)))))
+    held = subscribers.select("subscriber", "joined_at", "left_at", F.explode(spans).alias("bin"))
+    met = messages.select(row, F.col(seq).alias("at"), bin_of(F.col(seq)).alias("b")).join(held, F.col("b") == F.col("bin"))
+    return met.where(there(F.col("at"), F.col("joined_at"), F.col("left_at"))).select("row.*", "subscriber")
 
 
 def subscriber_copies(messages: DataFrame, subscriptions: DataFrame, sniffed: Column | None = None) -> DataFrame:
@@ -53,23 +76,21 @@ def replied(messages: DataFrame) -> DataFrame:
 
 def ask_in_turn(messages: DataFrame, keys: list[str], seq: str, is_request: Column, is_reply: Column, reply: Column) -> DataFrame:
     """Requests with the reply that directly follows in their conversation, if it is one (status answered), else null."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    nxt = messages.withColumn("_ok", F.lead(is_reply).over(w)).withColumn("reply", F.lead(reply).over(w))
-    asked = nxt.where(is_request).withColumn("reply", F.when(F.coalesce("_ok", F.lit(False)), F.col("reply"))).drop("_ok")
+    then = fresh(messages, "then")
+    rows = following(messages, seq, keys, F.struct(F.coalesce(is_reply, F.lit(False)).alias("ok"), reply.alias("reply")), F.lit(True), then)
+    asked = rows.where(is_request).withColumn("reply", F.when(F.col(then)["ok"], F.col(then)["reply"])).drop(then)
     return asked.withColumn("status", F.when(F.col("reply").isNotNull(), "answered").otherwise("timeout"))
 
 
 def ask_within(messages: DataFrame, key: str, at: str, is_request: Column, is_reply: Column, reply: str, timeout: str, ties: str) -> DataFrame:
     """Requests with the first reply of the same key after them and within `timeout` (an interval), else a timeout.
 
-    One pass per key, from the last message to the first: each request finds the reply seen last, so requests and
-    replies are never paired and no frame is read again.
+    Requests and replies are never paired: each request finds the next reply in order, piece by piece of a key's time.
     """
-    w = Window.partitionBy(key).orderBy(F.desc(at), F.desc(ties)).rowsBetween(Window.unboundedPreceding, -1)
-    follow = F.last(F.when(is_reply, F.struct(F.col(at).alias("at"), F.col(reply).alias("id"))), ignorenulls=True).over(w)
-    rows = messages.where(is_request | is_reply).withColumn("_r", follow).where(is_request)
-    intime = F.col("_r.at") <= F.col(at) + F.expr(f"INTERVAL {timeout}")
-    rows = rows.withColumn("reply_id", F.when(intime, F.col("_r.id"))).drop("_r")
+    then = fresh(messages, "then")
+    rows = following(messages.where(is_request | is_reply), at, [key], F.struct(F.col(at).alias("at"), F.col(reply).alias("id")), is_reply, then, [ties])
+    intime = F.col(then)["at"] <= F.col(at) + F.expr(f"INTERVAL {timeout}")
+    rows = rows.where(is_request).withColumn("reply_id", F.when(intime, F.col(then)["id"])).drop(then)
     return rows.withColumn("status", F.when(F.col("reply_id").isNotNull(), "answered").otherwise("timeout"))
 
 
@@ -84,9 +105,16 @@ def dead_letters(messages: DataFrame, registered: DataFrame, destination: str, a
     return messages.join(registered.select(F.col(actor).alias("_a")), F.col(destination) == F.col("_a"), "left_anti")
 
 
-def drained_by_priority(messages: DataFrame, *by: Column) -> DataFrame:
-    """Priority mailbox: the order in which messages leave it."""
-    return messages.orderBy(*by)
+def drained_by_priority(messages: DataFrame, rank: str, seq: str = "seq", name: str = "position") -> DataFrame:
+    """Priority mailbox: the place at which each message leaves it, by `rank` (a small whole number), then arrival.
+
+    Counts of the ranks say where each rank begins; places within a rank are taken piece by piece.
+    """
+    starts = messages.groupBy(F.col(rank).alias("r")).agg(F.count("*").alias("n"))  # a row a rank
+    starts = starts.select("r", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    placed = position(messages.select(F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("row"), F.col(rank).alias("rank"), F.col(seq).alias("o")), "o", ["rank"], "place")
+    placed = placed.join(starts, F.col("rank").eqNullSafe(F.col("r")))
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in messages.columns if c != name], (F.col("start") + F.col("place")).alias(name))
 
 
 def coalesced_by_type(messages: DataFrame, payload: str, kind: str = "payload_type", seq: str = "seq") -> DataFrame:
@@ -96,28 +124,37 @@ def coalesced_by_type(messages: DataFrame, payload: str, kind: str = "payload_ty
 
 def bounded(messages: DataFrame, capacity: int, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """(admitted, refused) of a bounded mailbox that is not drained meanwhile: the first `capacity` fit."""
-    from ..functions.position import position
-
-    placed = position(messages, seq, name="_at")
-    return placed.where(F.col("_at") < capacity).drop("_at"), placed.where(F.col("_at") >= capacity).drop("_at")
+    at = fresh(messages, "at")
+    placed = position(messages, seq, name=at)
+    return placed.where(F.col(at) < capacity).drop(at), placed.where(F.col(at) >= capacity).drop(at)
 
 
-def credited(messages: DataFrame, credits: DataFrame, threshold: int, regulated: Column, jumps: Column, seq: str = "seq") -> DataFrame:
+def credited(messages: DataFrame, credits: DataFrame, threshold: int, regulated: Column, jumps: Column, seq: str = "seq", initial: int = 0) -> DataFrame:
     """Status of each message at a backpressuring mailbox, while credits (seq, n) arrive between messages.
 
-    A message that is not regulated costs no credit; one that jumps is delivered at once. A regulated message is
-    DELIVERED if a credit is left when it arrives, else it waits in the buffer; from `threshold` waiting messages on, the
-    status is BACKPRESSURE_REQUIRED (accepted, and the publisher is told to slow down). Waiting messages and credits
-    annul each other, so the state is one number: credits so far minus regulated messages so far.
-    """
-    from ..functions.position import running_total
+    A message that jumps is delivered at once and counts for nothing. Any other is delivered if a credit is left when it
+    arrives and nothing waits, else it is buffered, first in first out; it takes a credit with it if it is regulated,
+    while one that is not only needs that some credit is left. A buffered message has the status BACKPRESSURE_REQUIRED
+    (accepted, and the publisher is told to slow down) if with it `threshold` messages wait, else DELIVERED; `waiting` is
+    their number.
 
-    cost = F.when(F.col("_n").isNotNull(), F.col("_n")).when(jumps, 0).when(regulated, -1).otherwise(0).cast("long")
-    both = messages.withColumn("_n", F.lit(None).cast("long")).unionByName(credits.select(F.col("seq").alias(seq), F.col("n").cast("long").alias("_n")), allowMissingColumns=True)
-    both = running_total(both, seq, weight=cost, name="_balance", ties=["_n"])
-    waiting = F.greatest(-F.col("_balance"), F.lit(0))
-    status = F.when(jumps | ((F.col("_balance") > 0) & regulated) | (~regulated & (waiting == 0)), "DELIVERED").when(waiting + 1 >= threshold, "BACKPRESSURE_REQUIRED").otherwise("DELIVERED")
-    return both.where(F.col("_n").isNull()).withColumn("waiting", waiting).withColumn("status", status).drop("_n", "_balance")
+    A message leaves once more credits have come than regulated messages stand before it. So with K credits so far, all
+    up to the K-th regulated message are gone; its place, met by the number K, gives the number that wait.
+    """
+    regulated = F.coalesce(regulated, F.lit(False))
+    own = F.col("own")
+    rows = messages.select(F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("row"), F.col(seq).alias("o"), F.lit(1).alias("own"), F.coalesce(jumps, F.lit(False)).alias("jump"), regulated.alias("pays"), F.lit(0).cast("long").alias("n"))
+    came = credits.select(F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.col("seq").alias("o"), F.lit(0).alias("own"), F.lit(False).alias("jump"), F.lit(False).alias("pays"), F.col("n").cast("long").alias("n"))
+    queued = (own == 1) & ~F.col("jump")
+    weights = {"credit": F.col("n"), "place": queued.cast("long"), "before": (queued & F.col("pays")).cast("long")}
+    both = running_totals(rows.union(came), "o", [], weights, ["own"])
+    both = both.withColumn("credit", F.col("credit") + initial)
+    nth = both.where(queued & F.col("pays")).select((F.col("before") + 1).alias("nth"), F.col("place").alias("gone"))
+    sent = both.where(own == 1).join(nth, F.col("credit") == F.col("nth"), "left")
+    waits = ~F.col("jump") & (F.col("credit") <= F.col("before"))
+    waiting = F.when(waits, F.col("place") - F.coalesce(F.col("gone"), F.lit(-1))).otherwise(0)
+    status = F.when(waits & (waiting >= threshold), BACKPRESSURE_REQUIRED).otherwise(DELIVERED)
+    return sent.select("row.*", waiting.cast("long").alias("waiting"), status.alias("status"))
 
 
 def by_validity(messages: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
@@ -145,7 +182,15 @@ def received(messages: DataFrame, system: str, origin: Column, target: Column, i
 def broadcast_scope(messages: DataFrame, gates: DataFrame, scope: str, channel: str | None = None, local: str = "local") -> DataFrame:
     """A copy a gate (gate, kind) in the scope: `local` the loopback gate, `remote` all others, `all` every gate of a channel."""
     chosen = {"local": F.col("kind") == local, "remote": F.col("kind") != local, "all": F.col("channel") == channel}[scope]
-    names = [F.lit(r.gate) for r in gates.where(chosen).select("gate").distinct().orderBy("gate").collect()]  # a row a gate
-    if not names:
-        return messages.limit(0).withColumn("gate", F.lit(None).cast("string"))
-    return messages.withColumn("gate", F.explode(F.array(*names)))
+    names = gates.where(chosen).select("gate").distinct()
+    few = _few(names)
+    if few is not None:
+        if not few:
+            return messages.limit(0).withColumn("gate", F.lit(None).cast("string"))
+        return messages.withColumn("gate", F.explode(F.array(*[F.lit(r.gate) for r in sorted(few)])))
+    # lists of about FEW gates each, met by their number
+    n = -(-names.count() // FEW)
+    lists = names.groupBy(F.pmod(F.xxhash64("gate"), F.lit(n)).cast("int").alias("list")).agg(F.collect_list("gate").alias("gates"))
+    row = F.struct(*[F.col(f"`{c}`") for c in messages.columns if c != "gate"]).alias("row")
+    dealt = messages.select(row, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
+    return dealt.join(lists, F.col("part") == F.col("list")).select("row.*", F.explode("gates").alias("gate"))

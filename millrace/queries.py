@@ -216,9 +216,7 @@ def requests_per_interval(spark, sf_dir):
 @query("""SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_type = 'error' THEN 0 ELSE 1 END, event_id) - 1 AS position FROM events""")
 def priority_order(spark, sf_dir):
     e = tables.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "error", 0).otherwise(1).alias("rank"))
-    first = e.where("rank = 0").count()
-    at = position(e, "event_id", ["rank"])
-    return at.select("event_id", F.when(F.col("rank") == 0, F.col("position")).otherwise(F.col("position") + first).alias("position"))
+    return messaging.drained_by_priority(e, "rank", "event_id").select("event_id", "position")
 
 
 @query("SELECT event_type AS payload_type, arg_max(value, event_id) AS value, min(event_id) AS first_seq, max(event_id) AS seq FROM events GROUP BY 1")
@@ -390,10 +388,13 @@ def bounded_mailbox(spark, sf_dir):
     return both.agg(F.sum("a").alias("admitted"), F.sum(1 - F.col("a")).alias("refused"))
 
 
-@query("""WITH m AS (SELECT event_id, CASE WHEN event_type = 'view' THEN 1 WHEN event_type IN ('error', 'signup') THEN 0 ELSE -1 END AS w, event_type FROM events),
-b AS (SELECT *, coalesce(sum(w) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS balance FROM m)
-SELECT status, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' OR (event_type = 'signup' AND balance >= 0) OR (w = -1 AND balance > 0) THEN 'DELIVERED'
- WHEN greatest(-balance, 0) + 1 >= 100 THEN 'BACKPRESSURE_REQUIRED' ELSE 'DELIVERED' END AS status FROM b WHERE event_type <> 'view') GROUP BY 1""")
+@query("""WITH m AS (SELECT event_id, event_type = 'view' AS credit, event_type = 'error' AS jumps, event_type <> 'signup' AS pays FROM events),
+b AS (SELECT *, count(*) FILTER (WHERE credit) OVER w AS k, count(*) FILTER (WHERE NOT credit AND NOT jumps) OVER w AS place,
+      count(*) FILTER (WHERE NOT credit AND NOT jumps AND pays) OVER w AS before
+      FROM m WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT before + 1 AS nth, place AS gone FROM b WHERE pays AND NOT credit AND NOT jumps)
+SELECT status, count(*) AS n FROM (SELECT CASE WHEN NOT jumps AND k <= before AND b.place - coalesce(gone, -1) >= 100 THEN 'BACKPRESSURE_REQUIRED' ELSE 'DELIVERED' END AS status
+ FROM b LEFT JOIN p ON k = nth WHERE NOT credit) GROUP BY 1""")
 def credit_backpressure(spark, sf_dir):
     m = tables.messages(spark, sf_dir).select("seq", "payload_type")
     credits = m.where("payload_type = 'view'").select("seq", F.lit(1).alias("n"))

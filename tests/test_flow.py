@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions.position import position, running_total
+from millrace.functions.position import in_pieces, position, running_total
 from millrace.functions.values import attempt, is_delivered, mapped, name_uuid, recovered, worst
 from millrace.operators import discovery, messaging, routing, statistics, verbs
 from millrace.operators.flow import Map, Reduce, ReduceEach, Service, Zip, checked, rules_of
@@ -159,31 +159,86 @@ def test_mailboxes(spark):
 
 
 @settings(max_examples=6, deadline=None)
-@given(st.lists(st.sampled_from(["credit", "x", "free", "urgent"]), max_size=30))
-def test_credits_equal_message_by_message(spark, kinds):
-    credits, waiting, want = 0, 0, []
+@given(st.lists(st.sampled_from(["credit", "x", "free", "urgent"]), max_size=30), st.integers(0, 2))
+def test_credits_equal_message_by_message(spark, kinds, initial):
+    credits, buffer, want = initial, [], []
     for i, k in enumerate(kinds):
         if k == "credit":
-            if waiting:
-                waiting -= 1
-            else:
-                credits += 1
+            credits += 1
+            while credits > 0 and buffer:
+                credits -= buffer.pop(0) != "free"
         elif k == "urgent":
             want.append((i, "DELIVERED"))
-        elif k == "free":
-            want.append((i, "DELIVERED" if not waiting or waiting + 1 < 2 else "BACKPRESSURE_REQUIRED"))
-        elif credits:
-            credits -= 1
+        elif credits > 0 and not buffer:
+            credits -= k != "free"
             want.append((i, "DELIVERED"))
         else:
-            waiting += 1
-            want.append((i, "BACKPRESSURE_REQUIRED" if waiting >= 2 else "DELIVERED"))
+            buffer.append(k)
+            want.append((i, "BACKPRESSURE_REQUIRED" if len(buffer) >= 3 else "DELIVERED"))
     m = spark.createDataFrame([(i, k) for i, k in enumerate(kinds) if k != "credit"], "seq long, k string")
     c = spark.createDataFrame([(i, 1) for i, k in enumerate(kinds) if k == "credit"], "seq long, n int")
-    out = messaging.credited(m, c, 2, F.col("k") != "free", F.col("k") == "urgent")
+    out = messaging.credited(m, c, 3, F.col("k") != "free", F.col("k") == "urgent", initial=initial)
     assert rows(out.select("seq", "status")) == want
 
 
+def test_free_messages_that_wait_count_towards_the_threshold(spark):
+    m = spark.createDataFrame([(0, "x"), (1, "free"), (2, "x")], "seq long, k string")
+    out = messaging.credited(m, spark.createDataFrame([], "seq long, n int"), 3, F.col("k") != "free", F.lit(False))
+    assert rows(out.select("seq", "waiting", "status")) == [(0, 1, "DELIVERED"), (1, 2, "DELIVERED"), (2, 3, "BACKPRESSURE_REQUIRED")]
+
+
+def test_pieces_hold_equally_many_rows_of_a_heavy_tail(spark):
+    values = [float(i) ** 3 for i in range(20_000)] + [1e12, float("nan"), None] + [5.5] * 10
+    df = spark.createDataFrame([(v, "k", 9, 8) for v in values], "v double, key string, piece int, row int")
+    sizes = [r["count"] for r in in_pieces(df, "v", ["key"], pieces=64).groupBy("piece").count().collect()]
+    assert max(sizes) <= 2 * len(values) / 64 and sum(sizes) == len(values)
+    got = sorted(position(df, "v", ["key"], "at", pieces=64).collect(), key=lambda r: r["at"])
+    assert [r["at"] for r in got] == list(range(len(values))) and {(r.key, r.piece, r.row) for r in got} == {("k", 9, 8)}
+    assert got[0].v is None and got[-1].v != got[-1].v and [r.v for r in got[1:-1]] == sorted(v for v in values if v is not None and v == v)
+
+
+def test_names_of_helper_columns_are_free_for_users(spark):
+    df = spark.createDataFrame([(i, "A", 0, 7, 8, 9) for i in range(6)], SEQ + ", _n long, _at long, _w long")
+    out = ReduceEach(2, {"s": F.sum(F.col("_n") + F.col("_at") + F.col("_w"))}).transform(df)
+    assert [r.s for r in out.collect()] == [48, 48, 48]
+    assert {(r._w, r._n) for r in running_total(df, "seq", weight=F.lit(1)).collect()} == {(9, 7)}
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("qrx"), st.integers(0, 1), st.integers(0, 9)), max_size=40))
+def test_asks_equal_message_by_message(spark, told):
+    df = spark.createDataFrame([(i, k, u, t) for i, (k, u, t) in enumerate(told)], "seq long, kind string, user long, t long").withColumn("at", F.timestamp_seconds("t"))
+    order = sorted((t, i, k, u) for i, (k, u, t) in enumerate(told))
+    want = []
+    for n, (t, i, k, u) in enumerate(order):
+        if k == "q":
+            reply = next(((x, j) for x, j, r, v in order[n + 1 :] if r == "r" and v == u), None)
+            want.append((i, reply[1] if reply and reply[0] <= t + 3 else None))
+    out = messaging.ask_within(df, "user", "at", F.col("kind") == "q", F.col("kind") == "r", "seq", "3 SECONDS", "seq")
+    assert sorted((r.seq, r.reply_id) for r in out.collect()) == sorted(want, key=lambda x: x[0])
+    turns = messaging.ask_in_turn(df, ["user"], "seq", F.col("kind") == "q", F.col("kind") == "r", F.col("seq"))
+    later = {i: next(((j, r) for j, (r, v, _) in enumerate(told) if j > i and v == u), (0, ""))for i, (k, u, _) in enumerate(told) if k == "q"}
+    assert {r.seq: r.reply for r in turns.collect()} == {i: j if r == "r" else None for i, (j, r) in later.items()}
+
+
+def test_a_hot_asker_is_many_tasks_work(spark):
+    df = spark.range(20_000).select(F.col("id").alias("seq"), F.lit("hot").alias("user"), F.timestamp_seconds("id").alias("at"), F.when(F.col("id") % 3 == 0, "q").otherwise("r").alias("kind"))
+    sizes = [r["count"] for r in in_pieces(df, "at", ["user"]).groupBy("key", "piece").count().collect()]
+    assert max(sizes) <= 2 * 20_000 / 256
+    out = messaging.ask_within(df, "user", "at", F.col("kind") == "q", F.col("kind") == "r", "seq", "1 HOURS", "seq")
+    assert out.where("reply_id = seq + 1").count() == out.count() - (19_999 % 3 == 0) == 6_667 - (19_999 % 3 == 0)
+
+
+def test_many_subscribers_and_gates_meet_by_bins(spark, monkeypatch):
+    m = spark.range(50).select(F.col("id").alias("seq"), (F.col("id") * 2).alias("row"))
+    subs = spark.createDataFrame([(f"s{i}", i * 3, None if i % 2 else i * 5) for i in range(9)], "subscriber string, joined_at long, left_at long")
+    gates = spark.createDataFrame([(f"g{i}", "local" if i < 2 else "remote", "c") for i in range(9)], "gate string, kind string, channel string")
+    few = [rows(messaging.fan_out_to_subscribers(m, subs))] + [rows(messaging.broadcast_scope(m, gates, s, "c")) for s in ("local", "remote", "all")]
+    monkeypatch.setattr(messaging, "FEW", 1)
+    assert few == [rows(messaging.fan_out_to_subscribers(m, subs))] + [rows(messaging.broadcast_scope(m, gates, s, "c")) for s in ("local", "remote", "all")]
+    assert len(few[1]) == 100 and len(few[2]) == 350 and len(few[3]) == 450
+
+
 def test_subscribers(spark):
     m = spark.createDataFrame([(i, "a", "1", i % 2 == 1) for i in range(4)], "seq long, payload_type string, destination string, foreign boolean")
     subs = spark.createDataFrame([("s", 2, None), ("t", 0, 1)], "subscriber string, joined_at long, left_at long")
