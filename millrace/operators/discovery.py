@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.values import full_match
 
 
-def discovered(registry: DataFrame, name: Column, wanted: str, load: Column | None = None, load_range: tuple[float, float] | None = None, host: Column | None = None, host_pattern: str | None = None, channel: Column | None = None, channels: list[str] | None = None) -> DataFrame:
+def discovered(registry: DataFrame, name: Column, wanted: str, load: Column | None = None, load_range: tuple[float, float] | None = None, host: Column | None = None, host_pattern: str | None = None, channel: Column | None = None, channels: list[str] | None = None, closed: bool = True) -> DataFrame:
     """Services that meet every criterion that is set. The name is required; an absent property meets any criterion
     on load or host; no channels mean any."""
     keep = name == wanted
     if load is not None and load_range is not None:
-        keep = keep & (load.isNull() | load.between(*load_range))
+        inside = load.between(*load_range) if closed else (load > load_range[0]) & (load < load_range[1])
+        keep = keep & (load.isNull() | inside)
     if host is not None and host_pattern is not None:
         keep = keep & (host.isNull() | full_match(host, host_pattern))
     if channel is not None and channels:
@@ -21,6 +22,27 @@ def discovered(registry: DataFrame, name: Column, wanted: str, load: Column | No
     return registry.where(keep)
 
 
+def property_of(properties: Column, key: str) -> Column:
+    """A service's property by its key, null where it has none. `properties` is a map."""
+    return F.try_element_at(properties, F.lit(key))
+
+
+def resolved(wanted: DataFrame, services: DataFrame, name: str, known_as: str) -> DataFrame:
+    """The services of a list of names; names that nobody has are left out."""
+    return wanted.join(services, F.col(name) == F.col(known_as))
+
+
+def duplicated(registered: DataFrame, name: str) -> DataFrame:
+    """Names that are registered more than once, with their number `n`."""
+    return registered.groupBy(name).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def random_gate(gates: DataFrame, keys: list[str], gate: str, seed: int = 1) -> DataFrame:
+    """keys and one of their gates, each as likely: the one with the least hash of seed, keys and gate. Reruns agree."""
+    lot = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col(gate).cast("string")))
+    return gates.groupBy(*keys).agg(F.min_by(gate, lot).alias(gate))
+
+
 def latest(records: DataFrame, keys: list[str], seq: str, removed: Column) -> DataFrame:
     """Upserts and removals (tombstones) to the records that stand: the last of each key, unless it removes."""
     whole = F.struct(*[c for c in records.columns if c not in keys])

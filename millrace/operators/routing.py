@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.position import position
+from ..functions.position import fresh, position
 
 
 def if_else(df: DataFrame, p: Column | None = None, with_else: bool = True) -> tuple[DataFrame, DataFrame | None]:
@@ -29,6 +29,17 @@ def fan_in(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def split_errors(df: DataFrame, tried: Column, name: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(rows with the value of a success, rows of failures with `error`): one bad row is routed aside, not fatal.
+
+    `tried` is struct(value, error), as functions.values.attempt makes it. An error handler is any step on the second.
+    """
+    both = df.withColumn("tried", tried)
+    failed = F.col("tried")["error"].isNotNull()
+    good = both.where(~failed).withColumn(name, F.col("tried")["value"]).drop("tried")
+    return good, both.where(failed).withColumn("error", F.col("tried")["error"]).drop("tried")
+
+
 def dispatch(df: DataFrame, handlers: dict[str, Column], default: Column | None = None, kind: str = "payload_type", name: str = "handled") -> DataFrame:
     """The handler's value for the exact payload type, else the default's; without one such rows are ignored."""
     value = None
@@ -41,7 +52,8 @@ def dispatch(df: DataFrame, handlers: dict[str, Column], default: Column | None
 
 def round_robin(df: DataFrame, n: int, seq: str = "seq", name: str = "routee") -> DataFrame:
     """Routees in turn by arrival; the router has counted once before the first row, so that goes to 2 % n."""
-    return position(df, seq, name="_at").withColumn(name, ((F.col("_at") + 2) % n).cast("long")).drop("_at")
+    at = fresh(df, "at")
+    return position(df, seq, name=at).withColumn(name, ((F.col(at) + 2) % n).cast("long")).drop(at)
 
 
 def partition_by(df: DataFrame, key: Column, n: int, name: str = "routee") -> DataFrame:
@@ -49,6 +61,17 @@ def partition_by(df: DataFrame, key: Column, n: int, name: str = "routee") -> Da
     return df.withColumn(name, (F.abs(key.cast("long")) % n).cast("long"))
 
 
+def selected(requests: DataFrame, service: Column, routees: int, selection: str = "selection", seq: str = "seq", name: str = "ref") -> DataFrame:
+    """What a discovery request is answered with: the service itself for ROUTED, one of its routees for any other, taken
+    in turn over those requests (null where the service has none)."""
+    routed = F.coalesce(F.col(selection) == "ROUTED", F.lit(False))
+    whole = requests.where(routed).withColumn(name, service)
+    turn = fresh(requests, "turn")
+    direct = round_robin(requests.where(~routed), max(routees, 1), seq, turn)
+    ref = F.concat_ws("-", service, F.col(turn).cast("string")) if routees else F.lit(None).cast("string")
+    return whole.unionByName(direct.withColumn(name, ref).drop(turn))
+
+
 def unrouted(df: DataFrame, name: str = "routee") -> tuple[DataFrame, DataFrame]:
     """(rows with a routee, dead letters)."""
     return df.where(F.col(name).isNotNull()), df.where(F.col(name).isNull())

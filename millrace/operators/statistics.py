@@ -32,6 +32,12 @@ def percentiles(df: DataFrame, value: str, keys: list[str] | None = None, at: li
     return known.withColumn("_hit", F.explode(ranks)).select(*keys, F.col("_hit.p").alias("p"), value)
 
 
+def percentiles_of_arrays(df: DataFrame, values: str, keys: list[str] | None = None, at: list[float] | None = None) -> DataFrame:
+    """percentiles of all elements of the array column `values`, flattened over the rows; null and empty arrays have none."""
+    keys = keys or []
+    return percentiles(df.select(*keys, F.explode(values).alias("value")), "value", keys, at)
+
+
 def per_interval(df: DataFrame, at: Column, unit: str, keys: list[str] | None = None) -> DataFrame:
     """keys, interval, n and delta to the interval before (null for the first)."""
     keys = keys or []

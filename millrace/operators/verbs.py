@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
-from ..functions.position import position
+from ..functions.position import following, fresh, position
 
 
 def _true(p: Column) -> Column:
@@ -72,6 +72,22 @@ def peek(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, Observ
     return df.observe(seen, *measures), seen
 
 
+def unordered(df: DataFrame, value: str, keys: list[str], seq: str = "seq") -> DataFrame:
+    """keys, seq, before, value: the rows whose `value` is not above that of the row before them, of the same keys.
+
+    A sequence is strictly increasing if it has none. A null is neither above nor below.
+    """
+    then = fresh(df, "then")
+    rows = following(df, seq, keys, F.struct(F.col(seq).alias("at"), F.col(value).alias("value")), F.lit(True), then)
+    broken = rows.where(F.col(then)["value"] <= F.col(value))
+    return broken.select(*keys, F.col(then)["at"].alias(seq), F.col(value).alias("before"), F.col(then)["value"].alias("value"))
+
+
+def collect(df: DataFrame, keys: list[str], **folds: Column) -> DataFrame:
+    """Collect by keys into named aggregates: the built-in ones combine partial results before the shuffle."""
+    return df.groupBy(*keys).agg(*[c.alias(n) for n, c in folds.items()])
+
+
 def for_each(df: DataFrame, fn: Callable[[Iterator[Row]], None]) -> None:
     df.foreachPartition(fn)
 

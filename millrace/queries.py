@@ -171,8 +171,8 @@ def stream_casts(spark, sf_dir):
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, min(l_shipdate) AS first_ship, max(l_extendedprice) AS top
 FROM lineitem GROUP BY 1, 2""")
 def collect_group(spark, sf_dir):
-    li = tables.table(spark, sf_dir, "lineitem")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.min("l_shipdate").alias("first_ship"), F.max("l_extendedprice").alias("top"))
+    folds = {"n": F.count("*"), "quantity": F.sum(F.col("l_quantity").cast("long")), "first_ship": F.min("l_shipdate"), "top": F.max("l_extendedprice")}
+    return verbs.collect(tables.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], **folds)
 
 
 @query("SELECT user_id, list(event_id ORDER BY event_id) AS items FROM events GROUP BY 1")
@@ -481,13 +481,13 @@ def monitored_services(spark, sf_dir):
 @query("SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 1")
 def duplicate_systems(spark, sf_dir):
     s = tables.table(spark, sf_dir, "supplier").join(tables.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.groupBy("n_name").agg(F.count("*").alias("n")).where("n > 1")
+    return discovery.duplicated(s, "n_name")
 
 
 @query("SELECT place, s_suppkey FROM (VALUES (0, 'Supplier#000000003'), (1, 'nobody'), (2, 'Supplier#000000001')) w(place, name) JOIN supplier ON s_name = name")
 def resolve_many(spark, sf_dir):
     wanted = tables.collection(spark, [("Supplier#000000003",), ("nobody",), ("Supplier#000000001",)], "name string")
-    return wanted.join(tables.table(spark, sf_dir, "supplier"), F.col("name") == F.col("s_name")).select(F.col("seq").cast("int").alias("place"), "s_suppkey")
+    return discovery.resolved(wanted, tables.table(spark, sf_dir, "supplier"), "name", "s_name").select(F.col("seq").cast("int").alias("place"), "s_suppkey")
 
 
 @query("""SELECT event_id AS seq, strftime(ts, '%Y-%m-%d') || ' SENDER: ' || user_id || ' DESTINATION: sink SEQ: ' || event_id || ' TYPE: ' || event_type || ' PAYLOAD: ' || props AS line FROM events""")
@@ -518,3 +518,76 @@ def ack_by_actor(spark, sf_dir):
     e = tables.table(spark, sf_dir, "events")
     out = messaging.acknowledged(e.where("event_type = 'click'").select("user_id"), e.where("event_type = 'purchase'").select("user_id"), "user_id")
     return out.groupBy("user_id").agg(F.count("*").alias("asked"), F.sum((F.col("status") == "DELIVERED").cast("long")).alias("acked"))
+
+
+@query(f"""WITH v AS (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM events WHERE event_type = 'view' AND value IS NOT NULL)
+SELECT CAST(p AS DOUBLE) AS p, value FROM v, (VALUES {_RANKS}) q(p) WHERE r = greatest(ceil(CAST(p AS DOUBLE) / 100 * n), 1)""")
+def flattened_percentiles(spark, sf_dir):
+    """Percentiles over all latencies that arrive as arrays, one snapshot a user."""
+    views = tables.table(spark, sf_dir, "events").where("event_type = 'view'")
+    return statistics.percentiles_of_arrays(verbs.to_array(views, F.col("value"), ["user_id"], "event_id", "snapshot"), "snapshot")
+
+
+@query("""SELECT user_id, event_id, before, value FROM (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+WHERE value <= before""")
+def unordered_items(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return verbs.unordered(e, "value", ["user_id"], "event_id")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE length(text) > 0")
+def chunks_joined(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = tables.joined_chunks(tables.chunked(docs, "text", 1000), ["doc_id"])
+    return back.select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(regexp_extract(p_brand, '[0-9]+$') AS BIGINT) END AS number,
+CASE WHEN p_partkey % 3 = 0 THEN 'bad: x' END AS error FROM part""")
+def error_routing(spark, sf_dir):
+    p = tables.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "x").otherwise(F.col("p_brand")).alias("raw"))
+    tried = attempt(F.regexp_extract("raw", "[0-9]+$", 0).try_cast("bigint"), F.concat(F.lit("bad: "), "raw"))
+    good, bad = routing.split_errors(p, tried, "number")
+    return routing.fan_in(good, bad).select("p_partkey", "number", "error")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderpriority LIKE '1%' AS routed FROM orders),
+d AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) + 1) % 3 AS turn FROM r WHERE NOT routed)
+SELECT o_orderkey AS seq, 'supply' AS ref FROM r WHERE routed UNION ALL SELECT o_orderkey, 'supply-' || turn FROM d""")
+def service_selection(spark, sf_dir):
+    asked = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderpriority").startswith("1"), "ROUTED").otherwise("DIRECT").alias("selection"))
+    return routing.selected(asked, F.lit("supply"), 3).select("seq", "ref")
+
+
+@query("""SELECT n_nationkey, arg_min(r_name, md5('1|' || n_nationkey || '|' || r_name)) AS r_name FROM nation JOIN region ON (n_nationkey + r_regionkey) % 2 = 0 GROUP BY 1""")
+def gate_at_random(spark, sf_dir):
+    n, r = tables.table(spark, sf_dir, "nation"), tables.table(spark, sf_dir, "region")
+    gates = n.select("n_nationkey", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda x: (F.col("n_nationkey") + x) % 2 == 0)).alias("k"))
+    return discovery.random_gate(gates.join(r, F.col("k") == F.col("r_regionkey")).select("n_nationkey", "r_name"), ["n_nationkey"], "r_name")
+
+
+@query("""SELECT event_id FROM events WHERE event_type = 'click' AND (json_extract_string(props, '$.k') IS NULL OR
+(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) > 10 AND TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) < 50))""")
+def property_discovery(spark, sf_dir):
+    """Services by a property looked up in their map, within an open range; an absent property meets the criterion."""
+    e = tables.table(spark, sf_dir, "events").withColumn("properties", F.from_json("props", "map<string,string>"))
+    load = discovery.property_of(F.col("properties"), "k").try_cast("double")
+    return discovery.discovered(e, F.col("event_type"), "click", load, (10, 50), closed=False).select("event_id")
+
+
+@query(_ZIP.format(n=2))
+def zip_sink(spark, sf_dir):
+    """A zip whose groups a consumer writes to a durable table."""
+    path = f"{tables.work_dir(spark)}/zip"
+    tables.append(_zip(spark, sf_dir, rules_of("click", "click", "purchase")), path)
+    return spark.read.parquet(path)
+
+
+@query(f"SELECT x.user_id, x.exec_seq, e.event_id, e.value FROM ({_EXEC}) x JOIN events e USING (user_id, event_id) WHERE e.event_id % 11 <> 0")
+def record_and_replay(spark, sf_dir):
+    """Messages and their executions recorded in two logs, then replayed from them."""
+    work, e = tables.work_dir(spark), tables.table(spark, sf_dir, "events")
+    tables.append(e.where("event_id % 11 <> 0").select("user_id", "event_id", "value"), f"{work}/messages")
+    tables.append(position(e.where("event_id % 7 <> 0").select("user_id", "event_id", "ts"), "ts", ["user_id"], "exec_seq", ["event_id"]).drop("ts"), f"{work}/executions")
+    log, executed = spark.read.parquet(f"{work}/messages"), spark.read.parquet(f"{work}/executions")
+    return discovery.replayed(log, executed, ["user_id", "event_id"], "exec_seq").select("user_id", "exec_seq", "event_id", "value")

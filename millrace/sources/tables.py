@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder that all executors share: below spark.checkpoint.dir, else a temporary one (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return f"{base.rstrip('/')}/flow-{uuid.uuid4().hex}"
 
 
@@ -58,6 +62,17 @@ def chunked(df: DataFrame, text: str, size: int = 65_535, name: str = "chunk") -
     return df.withColumn("chunk_at", F.explode(at)).withColumn(name, F.substring(F.col(text), F.col("chunk_at") * size + 1, F.lit(size)))
 
 
+def joined_chunks(df: DataFrame, keys: list[str], at: str = "chunk_at", chunk: str = "chunk", name: str = "text") -> DataFrame:
+    """The inverse of chunked: a text's chunks, in their order, as one text."""
+    parts = F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(chunk).alias("chunk"))))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["chunk"]), "").alias(name))
+
+
+def file_list(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of the files below `path`, in the order of their paths; their content is not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").orderBy("path")
+
+
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
     """The first row of a key."""
     return df.where(F.col(key) == value).limit(1)

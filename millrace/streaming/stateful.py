@@ -1,4 +1,4 @@
-"""Stateful stream operators: count-triggered reduce, bounded and coalescing mailboxes, lowest-load routing, delays."""
+"""Stateful stream operators: count-triggered reduce, ask within a timeout, draining a stream."""
 
 from __future__ import annotations
 
@@ -47,99 +47,13 @@ def reduce_stream(df: DataFrame, rules: dict[str, int], fold: Callable[[dict[str
     return rows.groupBy("routee").transformWithStateInPandas(CountReduce(rules, fold), "routee long, seq long, value string", "Append", "None")
 
 
-class BoundedMailbox(StatefulProcessor):
-    """Admits messages while fewer than `capacity` wait; `take` messages leave with every batch (its consumer's pace)."""
-
-    def __init__(self, capacity: int, take: int) -> None:
-        self.capacity, self.take = capacity, take
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getValueState("waiting", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("seq")
-        n = max(0, (self.waiting.get()[0] if self.waiting.exists() else 0) - self.take)
-        room = max(0, self.capacity - n)
-        new["status"] = ["DELIVERED" if i < room else "NOT_DELIVERED" for i in range(len(new))]
-        self.waiting.update((n + min(room, len(new)),))
-        yield new[["actor", "seq", "status"]]
-
-    def close(self) -> None:
-        pass
-
-
-def bounded_stream(df: DataFrame, capacity: int, take: int) -> DataFrame:
-    rows = df.select(F.col("actor").cast("long").alias("actor"), F.col("seq").cast("long").alias("seq"))
-    return rows.groupBy("actor").transformWithStateInPandas(BoundedMailbox(capacity, take), "actor long, seq long, status string", "Append", "None")
-
-
-class LowestLoad(StatefulProcessor):
-    """Gives each message of a service to the routee with the fewest open ones, the first of equals; rows with a routee
-    report that it has finished one."""
-
-    def __init__(self, n: int) -> None:
-        self.n = n
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "n array<long>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        waiting = list(self.open.get()[0]) if self.open.exists() else [0] * self.n
-        out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if pd.isna(r.finished):
-                routee = waiting.index(min(waiting))
-                waiting[routee] += 1
-                out.append((key[0], r.seq, routee))
-            else:
-                waiting[int(r.finished)] = max(0, waiting[int(r.finished)] - 1)
-        self.open.update((waiting,))
-        if out:
-            yield pd.DataFrame(out, columns=["service", "seq", "routee"])
-
-    def close(self) -> None:
-        pass
-
-
-def lowest_load_stream(df: DataFrame, n: int) -> DataFrame:
-    """(service, seq, finished: a routee that finished, null for a message) to (service, seq, routee)."""
-    rows = df.select("service", F.col("seq").cast("long").alias("seq"), F.col("finished").cast("long").alias("finished"))
-    return rows.groupBy("service").transformWithStateInPandas(LowestLoad(n), "service string, seq long, routee long", "Append", "None")
-
-
-class AdaptiveDelay(StatefulProcessor):
-    """A producer's delay before its next message: doubled when it is told to slow down, else halved, never below `floor_ms`."""
-
-    def __init__(self, floor_ms: int) -> None:
-        self.floor = floor_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.delay = handle.getValueState("delay", "ms long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        delay, out = (self.delay.get()[0] if self.delay.exists() else self.floor), []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            delay = delay * 2 if r.status == "BACKPRESSURE_REQUIRED" else max(self.floor, delay // 2)
-            out.append((key[0], r.seq, delay))
-        self.delay.update((delay,))
-        yield pd.DataFrame(out, columns=["producer", "seq", "delay_ms"])
-
-    def close(self) -> None:
-        pass
-
-
-def adaptive_delay_stream(df: DataFrame, floor_ms: int = 1) -> DataFrame:
-    """(producer, seq, status) to (producer, seq, delay_ms)."""
-    rows = df.select("producer", F.col("seq").cast("long").alias("seq"), "status")
-    return rows.groupBy("producer").transformWithStateInPandas(AdaptiveDelay(floor_ms), "producer string, seq long, delay_ms long", "Append", "None")
-
-
 def answered_stream(requests: DataFrame, replies: DataFrame, key: str, timeout: str, lateness: str = "1 hour") -> DataFrame:
-    """Stream-stream form of ask: requests (key, request_at) with replies (key, reply_at) that come within `timeout`."""
+    """Stream-stream form of ask: each request (key, request_at) with `reply_at`, the first of the replies (key, reply_at)
+    that come within `timeout`; null if none does. Requests of one key at one time are one request."""
     a = requests.withWatermark("request_at", lateness).alias("a")
     b = replies.withWatermark("reply_at", lateness).alias("b")
     within = (F.col(f"a.{key}") == F.col(f"b.{key}")) & F.expr(f"b.reply_at > a.request_at AND b.reply_at <= a.request_at + INTERVAL {timeout}")
-    return a.join(b, within, "left")
+    return a.join(b, within, "left").groupBy(F.col(f"a.{key}").alias(key), F.col("a.request_at")).agg(F.min("b.reply_at").alias("reply_at"))
 
 
 def drain(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
