@@ -12,6 +12,8 @@ from .line_dedup import LOWER, UPPER
 #: The rules of the driver's query, as (verdict, host and path prefix).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 SUFFIX_BUCKETS = 256
+#: Parts of the training sample whose suffix rates come from the others.
+FOLDS = 5
 FEATURES = ["n_chars", "host_chars", "path_chars", "depth", "labels", "digit_ratio", "hyphen_ratio", "entropy", "params", "fragment", "secure", "tld_rate", "site_rate"]
 
 
@@ -37,13 +39,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Bits per character."""
+    """Bits per character. Characters are sorted, so that equal ones form runs: linear but for the sort."""
     def of(chars: Column) -> Column:
         n = F.size(chars).cast("double")
-        bits = lambda c: let(F.size(F.filter(chars, lambda x: x == c)) / n, lambda p: -p * F.log2(p))
-        return F.when(F.size(chars) == 0, 0.0).otherwise(F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + bits(c)))
+        ends = F.filter(F.transform(chars, lambda c, i: F.when(F.coalesce(F.get(chars, i + 1) == c, F.lit(False)), None).otherwise(i + 1)), lambda i: i.isNotNull())
+        runs = lambda e: F.transform(e, lambda i, k: i - F.when(k > 0, F.get(e, k - 1)).otherwise(0))
+        bits = F.aggregate(let(ends, runs), F.lit(0.0), lambda a, m: a - m / n * F.log2(m / n))
+        return F.when(F.size(chars) == 0, 0.0).otherwise(bits)
 
-    return let(F.filter(F.split(text, ""), lambda c: c != ""), of)
+    return let(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), of)
 
 
 def _suffix(n: int) -> Column:
@@ -76,26 +80,32 @@ def lexical(pages: DataFrame) -> DataFrame:
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES, max_train: int = 20_000) -> DataFrame:
     """page_id, url, host, path, rule, verdict and margin of every page.
 
-    URLs that a rule fits are the labelled URLs: up to `max_train` of them, the first by hash, train the trees, and the
-    trees judge the rest (block if the margin is below 0). Suffix statistics are the training rows' rates of `allow` by
-    hashed last label and last two labels of the host, drawn towards the overall rate, in a fixed number of buckets.
-    Rows are judged one by one: repeated rows fare alike, a null or odd url has empty parts and counts as one more URL.
-    Without labelled URLs of both kinds the margin is 0 and the verdict of the rest is allow.
+    URLs that a rule fits are the labelled URLs: up to `max_train` different ones, the first by hash, train the trees,
+    and the trees judge the rest (block if the margin is below 0). Suffix statistics are the training URLs' rates of
+    `allow` by hashed last label and last two labels of the host, drawn towards the overall rate, in a fixed number of
+    buckets; a training URL's own rates are those of the other FOLDS - 1 parts of the sample, so that they tell the trees
+    no more than they can know of new URLs. Rows are judged one by one: repeated rows fare alike, a null, empty or odd
+    url has empty parts and counts as one more URL, a very long one is read whole, other columns are not read; an empty
+    table gives no rows. Without labelled URLs of both kinds the margin is 0 and the verdict of the rest is allow.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", F.col("url").alias("given"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
-    rows = lexical(rows).withColumn("judged", rule_of(F.col("host"), F.col("path"), rules))
-    labelled = rows.where("judged is not null").withColumn("label", (F.col("judged.verdict") == "allow").cast("int"))
-    train = cut(labelled.orderBy(F.xxhash64("url"), "url").limit(max_train).repartition(4, "url"))
+    rows = rows.withColumn("judged", rule_of(F.col("host"), F.col("path"), rules))
+    labelled = rows.where("judged is not null").select("url", "host", "path", (F.col("judged.verdict") == "allow").cast("int").alias("label"))
+    train = labelled.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(max_train).repartition(4, "url")
+    train = cut(lexical(train).withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(FOLDS)).cast("int")))
     prior = train.agg(F.avg("label")).first()[0] or 0.0
 
-    def rates(key: str):
-        rate = ((F.sum("label") + 2 * prior) / (F.count("*") + 2)).alias("rate")
-        table = {r[key]: r.rate for r in train.groupBy(key).agg(rate).collect()}  # at most SUFFIX_BUCKETS rows
-        values = F.split(F.lit(",".join(str(table.get(i, prior)) for i in range(SUFFIX_BUCKETS))), ",").cast("array<double>")
-        return F.get(values, F.col(key))
-
-    suffixed = lambda df: df.withColumn("tld_rate", rates("_tld")).withColumn("site_rate", rates("_site"))
-    scored = fit_margin(suffixed(train), FEATURES)(suffixed(rows))
+    def rates(key: str) -> tuple[Column, Column]:
+        """(rate by `key` over the whole sample, rate over it without the row's own fold)."""
+        held = {(r[key], r.fold): (r.p, r.n) for r in train.groupBy(key, "fold").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()}  # at most SUFFIX_BUCKETS * FOLDS rows
+        rate = lambda b, left: (sum(held.get((b, f), (0, 0))[0] for f in left) + 2 * prior) / (sum(held.get((b, f), (0, 0))[1] for f in left) + 2)
+        table = [rate(b, [f for f in range(FOLDS) if f != k]) for k in range(FOLDS + 1) for b in range(SUFFIX_BUCKETS)]
+        values = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
+        return F.get(values, F.lit(FOLDS * SUFFIX_BUCKETS) + F.col(key)), F.get(values, F.col("fold") * SUFFIX_BUCKETS + F.col(key))
+
+    (tld, other_tld), (site, other_site) = rates("_tld"), rates("_site")
+    fitted = fit_margin(train.withColumn("tld_rate", other_tld).withColumn("site_rate", other_site), FEATURES)
+    scored = fitted(lexical(rows).withColumn("tld_rate", tld).withColumn("site_rate", site))
     verdict = F.coalesce(F.col("judged.verdict"), F.when(F.col("margin") < 0, "block").otherwise("allow"))
     return scored.select("page_id", F.col("given").alias("url"), "host", "path", F.col("judged.rule").alias("rule"), verdict.alias("verdict"), "margin")

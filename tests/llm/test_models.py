@@ -87,6 +87,34 @@ def test_url_filter_follows_the_rules(spark):
     assert {r.verdict for r in url_filter(df.where("url like '%.net%'")).collect()} == {"allow"}
 
 
+def test_one_url_repeated_beyond_the_sample_changes_nothing(spark):
+    rng = random.Random(2)
+    urls = [f"http://{rng.choice('abc')}{i}.{rng.choice(['org', 'com'])}/{rng.choice(['fr', 'de'])}/{i}?x={i}" for i in range(300)] + [f"http://n{i}.net/de/{i}" for i in range(20)]
+    once = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    first = once.where("url like '%/fr/%'").select("url").first().url
+    often = once.union(spark.range(1000, 1400).select("id", F.lit(first)))
+    margins = [{r.page_id: round(r.margin, 9) for r in url_filter(df, max_train=100).where("page_id < 1000").collect()} for df in (once, often)]
+    assert margins[0] == margins[1] and len(set(margins[0].values())) > 1
+
+
+def test_entropy_and_lexical_features_equal_brute_force(spark):
+    import math
+    from collections import Counter
+
+    from millrace.llm.url_filter import lexical, url_parts
+
+    urls = ["", "aaaa", "https://a-b.example.org/x/y1//z?a=1&b=2#t", "http://é.com", "x" * 3000 + "://q.w.e/", "no?a&b&c"]
+    host, path = url_parts(F.col("url"))
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumns({"host": host, "path": path})
+    for r in lexical(df).collect():
+        u, n = r.url, max(1, len(r.url))
+        assert abs(r.entropy - -sum(c / n * math.log2(c / n) for c in Counter(u).values())) < 1e-9
+        assert (r.n_chars, r.host_chars, r.path_chars) == (len(u), len(r.host), len(r.path))
+        assert r.depth == sum(1 for x in r.path.split("/") if x) and r.labels == len(r.host.split("."))
+        assert abs(r.digit_ratio - sum(c.isascii() and c.isdigit() for c in u) / n) < 1e-12 and abs(r.hyphen_ratio - sum(c in "-_" for c in u) / n) < 1e-12
+        assert r.params == (u.split("?", 1)[1].count("&") + 1 if "?" in u else 0) and r.fragment == ("#" in u) and r.secure == u.startswith("https")
+
+
 @needs_data
 def test_url_trees_learn_the_rules_of_known_sites(spark):
     out = url_filter(spark.read.parquet(f"{SF}/pages.parquet"))
