@@ -105,10 +105,10 @@ def log_ratios(target: list[int], raw: list[int], scale: int) -> list[int]:
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, scale: int) -> list[list[int]]:
     """Ratios of every bucket against the whole target, then against the target without each of its FOLDS parts.
 
-    Raw counts are over all documents, target counts over all those whose doc_id is in `trusted`. Spark broadcasts the
-    ids while they are few, else it deals documents and ids out by doc_id. At most `buckets` * (FOLDS + 1) counts reach the driver.
+    Raw counts are over all documents, target counts over all those whose doc_id is in `trusted`. Documents
+    and ids are dealt out by doc_id at every size: the ids grow with the input, so they are never broadcast. At most `buckets` * (FOLDS + 1) counts reach the driver.
     """
-    good = trusted.where("doc_id is not null").select(F.col("doc_id").alias("good")).distinct()
+    good = trusted.where("doc_id is not null").select(F.col("doc_id").alias("good")).distinct().hint("shuffle_hash")
     flagged = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(good, F.col("doc_id") == F.col("good"), "left")
     part = F.when(F.col("good").isNotNull(), fold_of(F.col("doc_id"))).otherwise(FOLDS).alias("part")
     grams = flagged.select(part, F.explode(gram_buckets(words(F.col("text")), buckets)).alias("bucket"))
