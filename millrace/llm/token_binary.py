@@ -32,7 +32,7 @@ _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 IRREGULAR = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: About so many bytes of words and their ids are remembered by a worker; a word takes some 150 besides its own.
-REMEMBERED, WORD_BYTES = 128 << 20, 150
+REMEMBERED, WORD_BYTES = 80 << 20, 150
 #: Tokens that one step of the file format takes.
 CHUNK = 1 << 18
 _TWOS = 1 << np.arange(32, dtype=np.int64)
