@@ -1,11 +1,11 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, vectorised over buckets."""
+"""Suffix arrays by induced sorting, at every level of the recursion, and permuted common prefixes."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets beyond this are sorted by prefix doubling: a bucket a symbol would no longer be a vector.
-MAX_SYMBOLS = 1024
+#: Buckets of fewer symbols than this on average are scanned symbol by symbol; larger ones are vectors.
+BUCKET = 256
 
 
 def suffix_types(t: np.ndarray) -> np.ndarray:
@@ -76,20 +76,30 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndar
     return _join(out)[::-1]
 
 
-def by_doubling(t: np.ndarray) -> np.ndarray:
-    """Suffix array of a text over a large alphabet: ranks of prefixes, doubled until all differ."""
-    n, step = len(t), 1
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    while True:
-        after = np.zeros(n, dtype=np.int64)
-        after[:-step] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, dtype=np.int64)
-        new[order[1:]] = np.cumsum(np.diff(key[order]) != 0)
-        rank, step = new, step * 2
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order
+def induce_by_scan(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """What `induce` returns, for alphabets whose buckets are too small to be vectors: one linear scan each way."""
+    ends = np.cumsum(np.bincount(t, minlength=k))
+    sa = np.full(len(t), -1, dtype=np.int64)
+    seeds = lms[np.argsort(t[lms], kind="stable")]
+    seeded = np.cumsum(np.bincount(t[lms], minlength=k))
+    sa[np.arange(len(seeds)) + (ends - seeded)[t[seeds]]] = seeds  # at the bucket ends
+    sa = sa.tolist()
+    # by place, the symbol of the predecessor if the scan is to file it, else -1; the entry after the last is for empty slots
+    before, is_small = np.append(-1, t[:-1]), np.append(True, small[:-1])
+    larger = np.append(np.where(is_small, -1, before), -1).tolist()
+    smaller = np.append(np.where(is_small, before, -1), -1).tolist()
+    front, back = np.append(0, ends[:-1]).tolist(), ends.tolist()
+    for j in sa:  # the list fills ahead of the scan
+        c = larger[j]
+        if c >= 0:
+            sa[front[c]] = j - 1
+            front[c] += 1
+    for j in reversed(sa):
+        c = smaller[j]
+        if c >= 0:
+            back[c] -= 1
+            sa[back[c]] = j - 1
+    return np.array(sa, dtype=np.int64)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -97,15 +107,14 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if len(t) == 1:
         return np.zeros(1, dtype=np.int64)
     k = int(t.max()) + 1
-    if k > MAX_SYMBOLS:
-        return by_doubling(t)
+    file = induce if len(t) >= BUCKET * k else induce_by_scan
     small = suffix_types(t)
     is_lms = small.copy()
     is_lms[0] = False
     is_lms[1:] &= ~small[:-1]
     lms = np.flatnonzero(is_lms)
     if len(lms) > 1:
-        order = induce(t, small, lms, k)
+        order = file(t, small, lms, k)
         order = order[is_lms[order]]  # leftmost-S suffixes by their substrings
         end = np.append(lms[1:], len(t) - 1)
         length = np.zeros(len(t), dtype=np.int64)
@@ -121,7 +130,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         name = np.zeros(len(t), dtype=np.int64)
         name[order] = np.concatenate([[0], np.cumsum(~same)])
         lms = lms[suffix_array(name[lms])] if not (~same).all() else order
-    return induce(t, small, lms, k)
+    return file(t, small, lms, k)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.llm import decontaminate
 from millrace.llm import jaccard_join as jj
 from millrace.llm import mixing
+from millrace.llm import suffix_array as suffix_arrays
 from millrace.llm import suffix_dedup as sd
 from millrace.llm.common import n_words
 from millrace.llm.decontaminate import MASKS, SHORT, leaks, offsets, without_leaks
@@ -156,10 +157,12 @@ def test_suffix_dedup_takes_long_documents_in_parts(monkeypatch):
     assert set(doc) == {0} and sorted(x for a, m in zip(at, n) for x in range(a, a + m)) == list(range(2901))
 
 
-def test_suffix_array_and_prefixes():
+@pytest.mark.parametrize("bucket", [1, 8, 256, 1 << 40])  # buckets as vectors at all levels, at some, in none
+def test_suffix_array_and_prefixes(monkeypatch, bucket):
+    monkeypatch.setattr(suffix_arrays, "BUCKET", bucket)
     rng = np.random.default_rng(4)
     for k in range(60):
-        t = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 90)), 0)
+        t = np.append(rng.integers(1, rng.integers(2, 6) if k % 3 else 5_000, rng.integers(1, 90)), 0)
         if k % 4 == 0:
             t = np.append(np.tile(t[:-1], 3), 0)
         sa, flat = suffix_array(t), t.tolist()
