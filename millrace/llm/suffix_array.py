@@ -29,7 +29,7 @@ def _deal(items: np.ndarray, symbols: np.ndarray, buckets: list[list[np.ndarray]
 
 
 def _join(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
 
 
 def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
@@ -57,7 +57,7 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndar
         start = start[~small[start]]
         _deal(start, t[start], larger)
     smaller: list[list[np.ndarray]] = [[] for _ in range(k)]
-    smaller[0].append(np.array([len(t) - 1], dtype=np.int64))  # the sentinel, which nothing induces
+    smaller[0].append(np.array([len(t) - 1], dtype=np.int32))  # the sentinel, which nothing induces
     out: list[np.ndarray] = []
     for c in range(k - 1, -1, -1):
         own, now = [], _join(smaller[c])
@@ -79,7 +79,7 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndar
 def induce_by_scan(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """What `induce` returns, for alphabets whose buckets are too small to be vectors: one linear scan each way."""
     ends = np.cumsum(np.bincount(t, minlength=k))
-    sa = np.full(len(t), -1, dtype=np.int64)
+    sa = np.full(len(t), -1, dtype=np.int32)
     seeds = lms[np.argsort(t[lms], kind="stable")]
     seeded = np.cumsum(np.bincount(t[lms], minlength=k))
     sa[np.arange(len(seeds)) + (ends - seeded)[t[seeds]]] = seeds  # at the bucket ends
@@ -92,32 +92,38 @@ def induce_by_scan(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) ->
     for j in sa:  # the list fills ahead of the scan
         c = larger[j]
         if c >= 0:
-            sa[front[c]] = j - 1
-            front[c] += 1
+            p = front[c]
+            sa[p] = j - 1
+            front[c] = p + 1
     for j in reversed(sa):
         c = smaller[j]
         if c >= 0:
-            back[c] -= 1
-            sa[back[c]] = j - 1
-    return np.array(sa, dtype=np.int64)
+            p = back[c] - 1
+            sa[p] = j - 1
+            back[c] = p
+    return np.array(sa, dtype=np.int32)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of `t`, whose last symbol is smaller than all others (a sentinel)."""
+    """Suffix array of `t`, whose last symbol is smaller than all others (a sentinel); below 2**31 symbols.
+
+    Symbols below 65536 are dealt to their buckets by numpy's radix sort, so they are kept in 16 bits.
+    """
     if len(t) == 1:
-        return np.zeros(1, dtype=np.int64)
+        return np.zeros(1, dtype=np.int32)
     k = int(t.max()) + 1
+    t = t.astype(np.uint16 if k <= 1 << 16 else np.int32)
     file = induce if len(t) >= BUCKET * k else induce_by_scan
     small = suffix_types(t)
     is_lms = small.copy()
     is_lms[0] = False
     is_lms[1:] &= ~small[:-1]
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32)
     if len(lms) > 1:
         order = file(t, small, lms, k)
         order = order[is_lms[order]]  # leftmost-S suffixes by their substrings
         end = np.append(lms[1:], len(t) - 1)
-        length = np.zeros(len(t), dtype=np.int64)
+        length = np.zeros(len(t), dtype=np.int32)
         length[lms] = end - lms + 1
         a, b = order[:-1], order[1:]
         same = length[a] == length[b]
@@ -127,16 +133,17 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
             same[alive[~equal]] = False
             alive, i = alive[equal], i + 1
             alive = alive[length[a[alive]] > i]
-        name = np.zeros(len(t), dtype=np.int64)
+        name = np.zeros(len(t), dtype=np.int32)
         name[order] = np.concatenate([[0], np.cumsum(~same)])
         lms = lms[suffix_array(name[lms])] if not (~same).all() else order
     return file(t, small, lms, k)
 
 
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(phi, plcp): by text place, the suffix before it in `sa`, and their common prefix, at most `most` symbols.
 
     Symbols are below 65536; four go into a word, and only places whose words were equal so far are compared further.
+    With `asked` (a flag for every place), other places get 0.
     """
     n = len(t)
     phi = np.full(n, n, dtype=np.int64)
@@ -144,7 +151,7 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndar
     padded = np.concatenate([t.astype(np.uint64), np.zeros(most + 8, dtype=np.uint64)])
     word = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
     plcp = np.zeros(n, dtype=np.int64)
-    alive = np.flatnonzero(phi < n)
+    alive = np.flatnonzero(phi < n if asked is None else asked & (phi < n))
     for i in range(0, most, 4):
         differ = word[alive + i] ^ word[phi[alive] + i]
         ended = differ != 0

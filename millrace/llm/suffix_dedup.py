@@ -222,15 +222,15 @@ def repeated_windows(contexts: list[tuple[int, int, int, bytes]], length: int) -
     data[ends - 1] = 1  # ends of contexts; equal to each other, smaller than all bytes
     t = np.append(data, 0)
     sa = suffix_array(t)
-    phi, plcp = permuted_prefixes(t, sa, length)
-    place = sa[1:] if len(sa) > 1 else sa
-    k = np.searchsorted(ends, place, "right")
-    inside = place - (ends - sizes)[k]
-    n = np.array([x[2] for x in contexts])
-    is_window = inside < n[k]
+    owner = np.repeat(np.arange(len(contexts)), sizes)
+    inside = np.arange(len(data)) - (ends - sizes)[owner]
+    is_window = np.append(inside < np.array([x[2] for x in contexts])[owner], False)
+    _, plcp = permuted_prefixes(t, sa, length, is_window)
+    # suffixes between two that share `length` bytes share them too, so they are windows: others cannot part a group
+    place = sa[is_window[sa]]
     group = np.cumsum(plcp[place] < length)
-    doc, at = np.array([x[0] for x in contexts], dtype=np.int64)[k], np.array([x[1] for x in contexts], dtype=np.int64)[k] + inside
-    group, doc, at = group[is_window], doc[is_window], at[is_window]
+    k = owner[place]
+    doc, at = np.array([x[0] for x in contexts], dtype=np.int64)[k], np.array([x[1] for x in contexts], dtype=np.int64)[k] + inside[place]
     order = np.lexsort((at, doc, group))
     group, doc, at = group[order], doc[order], at[order]
     new = np.ones(len(group), dtype=bool)
