@@ -118,7 +118,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, rounds
     both = {r[0] for r in calibrating.select("label").distinct().collect()} == {0, 1}
     scored = add(dense_features(rows, lexicon)).select("doc_id", "margin")
     if both:
-        scale = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(calibrating.withColumn("label", F.col("label").cast("double")))
+        # a margin that many copies share is one weighted point: the fit deals points out by margin
+        points = calibrating.groupBy("margin").agg(F.avg(F.col("label").cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
+        scale = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight", predictionCol="score").fit(points)
         out = scale.transform(scored)
     else:
         out = scored.withColumn("score", F.lit(float(sample.agg(F.avg("label")).first()[0] or 0.0)))
